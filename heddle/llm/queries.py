@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from heddle.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from heddle.llm.html_extract import op6_html_extract
+from heddle.llm.line_dedup import op3_line_dedup
 from heddle.llm.mixing import op8_mixing
 from heddle.llm.packing import op2_packing
+from heddle.llm.quality_crf import op7_quality_classifier
 from heddle.llm.quality_rules import OP10_SQL, op10_quality_rules
+from heddle.llm.secrets import op5_secrets
 from heddle.llm.simhash import op1_simhash
+from heddle.llm.substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secrets": op5_secrets,
+    "op6_html_extract": op6_html_extract,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
