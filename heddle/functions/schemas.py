@@ -85,12 +85,9 @@ def widened(kind: T.DataType) -> T.DataType:
 
 
 def inferred_schema(df: DataFrame, column: str) -> T.StructType:
-    """Schema of the JSON texts of a column, folded over all rows in one aggregate; one row comes to the driver."""
-    found = df.agg(F.schema_of_json_agg(F.col(f"`{column}`")).alias("s")).first()[0] if hasattr(F, "schema_of_json_agg") else None
-    if found is None:
-        kind = df.sparkSession.read.json(df.select(column).rdd.map(lambda r: r[0])).schema
-    else:
-        kind = T._parse_datatype_string(found)
+    """Schema of the JSON texts of a column, folded over all rows: partial schemas are merged on the way."""
+    texts = df.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull()).rdd.map(lambda r: r[0])
+    kind = df.sparkSession.read.option("dropFieldIfAllNull", "true").json(texts).schema
     return widened(kind)
 
 

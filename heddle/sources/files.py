@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,23 +31,22 @@ class CsvFormat:
 
 
 def read_csv(spark: SparkSession, path: str, fmt: CsvFormat | None = None) -> DataFrame:
-    """A CSV scan. Rows to skip are dropped by their line number in each file, so such files are read whole."""
+    """A CSV scan. Rows to skip are dropped by their line number in each file, so such files are read whole and their
+    values stay text."""
     fmt = fmt or CsvFormat()
     options = {"sep": fmt.delimiter, "quote": fmt.quote, "encoding": fmt.encoding, "mode": "DROPMALFORMED" if fmt.ignore_bad_rows else "PERMISSIVE", "inferSchema": str(fmt.infer)}
     options["escape"] = fmt.escape or ('"' if fmt.double_quote else "\\")
     if fmt.skip_before_header or fmt.skip_after_header:
-        # Only the head of a file tells its header: the lines are numbered within each file.
-        lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("_n", "value")).where("value <> ''")
-        body = lines.where(F.col("_n") >= fmt.skip_before_header)
-        if fmt.header == "file":
-            top = body.where(F.col("_n") == fmt.skip_before_header).select("value").limit(1)
-            names = spark.read.options(**options).csv(top.rdd.map(lambda r: r[0])).first()
-            body = body.where(F.col("_n") > fmt.skip_before_header + fmt.skip_after_header)
-            df = spark.read.options(**options).csv(body.select("value").rdd.map(lambda r: r[0]))
-            df = df.toDF(*[n for n in names][: len(df.columns)])
-        else:
-            body = body.where(F.col("_n") >= fmt.skip_before_header + fmt.skip_after_header)
-            df = spark.read.options(**options).csv(body.select("value").rdd.map(lambda r: r[0]))
+        # Lines are numbered within each file; the first line that is left of any file tells the columns.
+        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("_n", "value")).where("value <> ''")
+        at, from_file = fmt.skip_before_header, fmt.header == "file"
+        head = lines.where(F.col("_n") >= at).select("value").first()
+        found = next(csv.reader([head[0]], delimiter=fmt.delimiter, quotechar=fmt.quote)) if head else []
+        names = found if from_file else [f"f{i}" for i in range(len(found))]
+        ddl = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+        body = lines.where(F.col("_n") >= at + from_file + fmt.skip_after_header)
+        parse = {"sep": fmt.delimiter, "quote": fmt.quote, "escape": options["escape"], "mode": "PERMISSIVE"}
+        df = body.select(F.from_csv("value", ddl, parse).alias("r")).select("r.*")
     else:
         df = spark.read.options(**options).option("header", str(fmt.header == "file")).csv(path)
     if fmt.header == "auto":
@@ -118,7 +118,7 @@ def language(path) -> F:
 
 def source_texts(spark: SparkSession, root: str, skip: Sequence[str] = SKIPPED, skip_tests: bool = True) -> DataFrame:
     """(path, language, text) of the source files below a folder, without skipped folders and test files."""
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     out = texts.withColumn("language", language(F.col("path"))).where("language IS NOT NULL")
     out = out.where(~F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in skip) + ")/"))
     return out.where(~F.col("path").rlike(r"(/tests?/|/test_[^/]*$|[._]test\.[^/]*$|\.spec\.[^/]*$)")) if skip_tests else out
