@@ -74,15 +74,23 @@ def bitmap_filter(df: DataFrame, keys: list[str], bits: int = 1 << 23) -> DataFr
     )
 
 
+def _packed(df: DataFrame, name: str = "_in") -> Column:
+    """All columns of ``df`` in one, so that whatever they are called meets no name used here."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def _unpacked(df: DataFrame, name: str = "_in") -> list[Column]:
+    return [F.col(f"{name}.`{c}`").alias(c) for c in df.columns]
+
+
 def flagged(df: DataFrame, bitmap: DataFrame, keys: list[str], flag: str, bits: int = 1 << 23) -> DataFrame:
     """``df`` with the boolean ``flag``: the row's keys may be among those of the filter. The filter is broadcast, see
     its bound."""
-    names = df.columns
-    slot = df.withColumn("_slot", _slot([F.col(k) for k in keys], bits))
+    slot = df.select(_packed(df), _slot([F.col(f"`{k}`") for k in keys], bits).alias("_slot"))
     slot = slot.withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot"))
     byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False)).alias(flag)
-    return slot.join(F.broadcast(bitmap), "_bucket", "left").select(*[F.col(f"`{c}`") for c in names], hit)
+    return slot.join(F.broadcast(bitmap), "_bucket", "left").select(*_unpacked(df), hit)
 
 
 def passing(df: DataFrame, bitmap: DataFrame, keys: list[str], bits: int = 1 << 23) -> DataFrame:
@@ -95,20 +103,21 @@ def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_
 
     A row is named by its id and the hash of its text. Only rows that a bounded filter lets through are shuffled.
     """
-    names, t = df.columns, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = df.withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_hash", F.xxhash64(t))
-    cuts = spans.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
-    marked = flagged(docs, bitmap_filter(spans.select(F.col("id").alias("_id"), F.col("hash").alias("_hash")), ["_id", "_hash"], bits), ["_id", "_hash"], "_cut", bits)
+    text = F.col(f"`{text_col}`")
+    docs = df.select(_packed(df), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
+    cuts = spans.groupBy("id", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
+    marked = flagged(docs, bitmap_filter(spans.select("id", "hash"), ["id", "hash"], bits), ["id", "hash"], "_cut", bits)
+    t = F.coalesce(F.col(f"_in.`{text_col}`"), F.lit(""))
     rest = F.aggregate(
         "_cuts",
         F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
         lambda a, c: F.struct(F.concat(a["t"], F.substring(t, a["at"] + 1, c["start"] - a["at"])).alias("t"), c["end"].alias("at")),
         lambda a: F.concat(a["t"], F.substring(t, a["at"] + 1, F.length(t))),
     )
-    some = marked.where("_cut").join(cuts, ["_id", "_hash"], "left")
-    some = some.withColumn("_rest", F.when(F.col("_cuts").isNull(), F.col(f"`{text_col}`")).otherwise(rest))
-    own = [F.col("_rest").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return marked.where("NOT _cut").select(*[F.col(f"`{c}`") for c in names]).unionByName(some.select(*own))
+    left = F.when(F.col("_cuts").isNull(), F.col(f"_in.`{text_col}`")).otherwise(rest).alias(text_col)
+    some = marked.where("_cut").join(cuts, ["id", "hash"], "left")
+    own = [left if c == text_col else x for c, x in zip(df.columns, _unpacked(df), strict=True)]
+    return marked.where("NOT _cut").select(*_unpacked(df)).unionByName(some.select(*own))
 
 
 def quiet_threads() -> None:

@@ -262,11 +262,11 @@ def pack_documents(df: DataFrame, tokenizer: str, limits: tuple[int, int, int] =
 
 def pack_examples(df: DataFrame, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
     """Whole examples (example_id, tokens, loss_tokens) of instruction data into sequences: example_id, start, length,
-    sequence_id, offset. Only an example above a limit by itself is cut."""
+    loss_tokens, sequence_id, offset. Only an example above a limit by itself is cut, its loss tokens counted first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cap, most, most_loss = limits
-        names = ["example_id", "start", "length", "sequence_id", "offset"]
+        names = ["example_id", "start", "length", "loss_tokens", "sequence_id", "offset"]
         sequence = TaskContext.get().partitionId() << 33
 
         def fill(window: list[tuple], sequence: int) -> tuple[list[tuple], int]:
@@ -282,7 +282,7 @@ def pack_examples(df: DataFrame, limits: tuple[int, int, int] = LIMITS) -> DataF
                     points = tok / cap * rest[0] / cap * weight[0] + rest[1] / most / most * weight[1] + loss / most_loss * rest[2] / most_loss * weight[2]
                     k = int(np.argmax(np.where(fits, points, -1.0)))
                     alive[k] = False
-                    out.append((window[k][0], window[k][1], window[k][2], sequence, offset))
+                    out.append((*window[k], sequence, offset))
                     offset += window[k][2]
                     rest = [rest[0] - window[k][2], rest[1] - 1, rest[2] - window[k][3]]
                 sequence += 1
@@ -294,7 +294,8 @@ def pack_examples(df: DataFrame, limits: tuple[int, int, int] = LIMITS) -> DataF
                 tokens, at = tokens or 0, 0
                 loss = min(loss or 0, tokens)
                 while tokens - at > 0 or at == 0:
-                    length = min(cap, most_loss, tokens - at)
+                    length = min(cap, tokens - at)
+                    length = min(length, most_loss) if min(loss, length) > most_loss else length
                     part = min(loss, length)
                     window.append((name, at, length, part))
                     loss, at = loss - part, at + max(length, 1)
@@ -307,7 +308,7 @@ def pack_examples(df: DataFrame, limits: tuple[int, int, int] = LIMITS) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     cols = [F.col(c).cast("long").alias(c) for c in ("example_id", "tokens", "loss_tokens")]
-    return df.select(*cols).mapInArrow(run, "example_id long, start long, length long, sequence_id long, offset long")
+    return df.select(*cols).mapInArrow(run, "example_id long, start long, length long, loss_tokens long, sequence_id long, offset long")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -53,15 +53,16 @@ def policy_mask(name: str = "default", version: int = 1) -> int:
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the measurements as long columns named ``MEASURES``; those names must be free in ``df``.
+    """``df`` with the measurements as long columns named ``MEASURES``; columns of ``df`` with those names give way.
 
     n_repeat_words counts the words inside some 3-word window that the text holds twice or more, the first included.
     The windows are sorted inside the row with their positions, so there is no shuffle however long a text is.
     """
-    names = [F.col(f"`{c}`") for c in df.columns]
+    own = [c for c in df.columns if c not in MEASURES and c not in ("fail_bits", "kept")]
+    packed, names = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_in"), ["_in"]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CLASS))
-    one = df.select(*names, t.alias("_t"), words(F.col(f"`{text}`")).alias("_w"), lines.alias("_l"))
+    one = df.select(packed, t.alias("_t"), words(F.col(f"`{text}`")).alias("_w"), lines.alias("_l"))
     windows = F.when(
         F.size("_w") >= 3,
         F.transform(
@@ -96,7 +97,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return four.select(*names, *kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return four.select(*[F.col(f"_in.`{c}`").alias(c) for c in own], *kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def failure_bits() -> Column:
