@@ -26,8 +26,8 @@ def table_name(value) -> Column:
     return F.when(v.rlike("^[0-9]"), F.concat(F.lit("_"), v)).otherwise(v)
 
 
-def raw_table_name(stream) -> Column:
-    return F.concat(F.lit("_airbyte_raw_"), identifier(stream))
+def raw_table_name(stream, prefix: str = "_raw_") -> Column:
+    return F.concat(F.lit(prefix), identifier(stream))
 
 
 def unique_names(names: Iterable[str], longest: int = 63) -> dict[str, str]:

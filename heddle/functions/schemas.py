@@ -21,6 +21,11 @@ SPARK_TYPES = {
 }
 
 
+def own_type(schema: dict) -> str | None:
+    """What a catalog adds to a JSON type, under a key of its own that ends in _type."""
+    return next((v for k, v in schema.items() if k.endswith("_type")), None)
+
+
 def logical_type(schema: dict) -> str:
     """Name of the type of a property: ARRAY, STRUCT, UNSUPPORTED_ONE_OF or one of ``PRECEDENCE``."""
     if "oneOf" in schema:
@@ -35,7 +40,7 @@ def logical_type(schema: dict) -> str:
         return "STRUCT"
     if kind == "array":
         return "ARRAY"
-    form, own = schema.get("format"), schema.get("airbyte_type")
+    form, own = schema.get("format"), own_type(schema)
     if kind == "boolean":
         return "BOOLEAN"
     if kind == "integer" or kind == "number" and own in ("integer", "big_integer"):
@@ -61,7 +66,7 @@ def chosen(options: list[str]) -> str:
 
 def spark_type(schema: dict) -> T.DataType:
     """Spark type of a JSON schema; property order is kept, what has no type of its own stays JSON text."""
-    if schema.get("airbyte_type") == "big_integer":
+    if own_type(schema) == "big_integer":
         return T.DecimalType(38, 0)
     kind = logical_type(schema)
     if kind == "STRUCT":

@@ -121,6 +121,6 @@ def cdc_envelope(df: DataFrame, before: str, after: str, op: str, ts: str) -> Da
     return df.select(row.alias("row"), at.alias("_ab_cdc_updated_at"), F.when(F.col(op) == "d", at).alias("_ab_cdc_deleted_at"))
 
 
-def soft_reset(raw: DataFrame) -> DataFrame:
+def soft_reset(raw: DataFrame, loaded_at: str) -> DataFrame:
     """All raw rows count as not loaded again."""
-    return raw.withColumn("_airbyte_loaded_at", F.lit(None).cast("timestamp"))
+    return raw.withColumn(loaded_at, F.lit(None).cast("timestamp"))

@@ -64,10 +64,10 @@ def empty_like(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
-def migrated_raw(v1: DataFrame) -> DataFrame:
-    """Raw table of the first layout in the second one."""
-    return v1.select(
-        F.col("_airbyte_ab_id").alias("_airbyte_raw_id"), F.col("_airbyte_emitted_at").alias("_airbyte_extracted_at"),
-        F.lit(None).cast("timestamp").alias("_airbyte_loaded_at"), F.col("_airbyte_data"),
-        F.lit(None).cast("string").alias("_airbyte_meta"), F.lit(0).cast("long").alias("_airbyte_generation_id"),
-    )
+def migrated_raw(v1: DataFrame, prefix: str) -> DataFrame:
+    """Raw table of the first layout (ab_id, emitted_at, data) in the second one; ``prefix`` leads all column names."""
+    new = {
+        "raw_id": F.col(f"{prefix}ab_id"), "extracted_at": F.col(f"{prefix}emitted_at"), "loaded_at": F.lit(None).cast("timestamp"),
+        "data": F.col(f"{prefix}data"), "meta": F.lit(None).cast("string"), "generation_id": F.lit(0).cast("long"),
+    }
+    return v1.select(*[c.alias(prefix + name) for name, c in new.items()])

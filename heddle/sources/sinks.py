@@ -30,7 +30,7 @@ def flattened(df: DataFrame, lead: Sequence[str]) -> DataFrame:
     return df.select(*[cell(df.schema[n]) for n in names])
 
 
-def unflattened(df: DataFrame, lead: Sequence[str], name: str = "_airbyte_data") -> DataFrame:
+def unflattened(df: DataFrame, lead: Sequence[str], name: str = "data") -> DataFrame:
     """The leading columns and one JSON column of all others."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in lead]
     return df.select(*lead, F.to_json(F.struct(*rest)).alias(name))

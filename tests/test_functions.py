@@ -86,7 +86,7 @@ def test_named_volume(one):
 
 @pytest.mark.parametrize(("schema", "want"), [
     ({"type": ["null", "string"]}, "STRING"), ({"type": ["string", "integer"]}, "STRING"), ({"type": ["object", "string"]}, "STRUCT"), ({"type": ["array", "object"]}, "ARRAY"),
-    ({"type": "string", "format": "date-time"}, "TIMESTAMP_WITH_TIMEZONE"), ({"type": "number", "airbyte_type": "integer"}, "INTEGER"), ({}, "UNKNOWN"), ({"oneOf": []}, "UNSUPPORTED_ONE_OF"),
+    ({"type": "string", "format": "date-time"}, "TIMESTAMP_WITH_TIMEZONE"), ({"type": "number", "catalog_type": "integer"}, "INTEGER"), ({}, "UNKNOWN"), ({"oneOf": []}, "UNSUPPORTED_ONE_OF"),
 ])
 def test_logical_type(schema, want):
     assert S.logical_type(schema) == want

@@ -179,3 +179,10 @@ def test_equality_metric(spark):
     a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
     assert Q.equality_metric(a, a).first()[0] == 0
     assert Q.equality_metric(a, a.where("k = 1")).first()[0] == 2
+
+
+def test_raw_layouts(spark):
+    v1 = spark.createDataFrame([("i", dt.datetime(2024, 1, 1), "{}")], "x_ab_id string, x_emitted_at timestamp, x_data string")
+    v2 = N.migrated_raw(v1, "x_")
+    assert v2.columns == ["x_raw_id", "x_extracted_at", "x_loaded_at", "x_data", "x_meta", "x_generation_id"]
+    assert H.soft_reset(v2, "x_loaded_at").where("x_loaded_at IS NULL").count() == 1

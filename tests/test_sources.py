@@ -68,7 +68,7 @@ def test_csv_sink_sorts_and_fills(spark, tmp_path):
     assert [tuple(r) for r in sinks.flattened(df, ["id"]).collect()] == [("1", '{"k":"v"}', "")]
     sinks.write_csv(df, str(tmp_path / "c"), ["id"], compression="gzip")
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).columns == ["id", "a", "z"]
-    assert sinks.unflattened(df, ["id"]).columns == ["id", "_airbyte_data"]
+    assert sinks.unflattened(df, ["id"]).columns == ["id", "data"]
 
 
 @pytest.mark.parametrize("layout", list(sinks.LAYOUTS))
