@@ -5,18 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.names import simple_name, squashed
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that executors share."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/heddle")
-    return df.checkpoint()
+from heddle.session import cut
 
 
 def merged_edges(edges: DataFrame, undirected: bool = False) -> DataFrame:
@@ -40,15 +33,15 @@ def weak_components(edges: DataFrame, vertices: DataFrame | None = None) -> Data
     Alternating star joins: minima combined before their shuffle and joined back, until nothing changes. Their number
     grows with the logarithm of the graph, not with its diameter.
     """
-    e = _cut(edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct())
+    e = cut(edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _cut(both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-        e = _cut(pairs.select("p.u", "p.v").where("u <> v").distinct())
+        e = cut(pairs.select("p.u", "p.v").where("u <> v").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from heddle.session import cut
+
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition: str | None = None, low: int = 0, high: int = 0, parts: int = 8, fetch: int = 1000, predicates: Sequence[str] | None = None, **properties: str) -> DataFrame:
     """A table over JDBC, split by a numeric column, by predicates (physical ranges) or not at all."""
@@ -103,7 +105,8 @@ def paged_source(name: str, schema: str, fetch: Callable[[object, int, int], lis
 
 def page_numbers(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """``df`` with the page each row is on. One range of rows per task: places come from counts of the parts before."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    # The ranges are drawn from a sample: a checkpoint keeps the counts and the rows of one and the same draw.
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
     return ranged.join(F.broadcast(before), "_p").withColumn("page", F.floor((F.col("_i") + F.col("_before")) / size).cast("long")).drop("_p", "_i", "_before")
