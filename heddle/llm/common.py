@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +121,13 @@ def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_
     return marked.where("NOT _cut").select(*_unpacked(df)).unionByName(some.select(*own))
 
 
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches cut to at most ``rows`` rows, so that few texts at once become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def quiet_threads() -> None:
     """One thread for each library in a Python worker: the executor's cores are Spark's to deal out."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import table, words, written
+from heddle.llm.common import slices, table, words, written
 
 #: Weights of the sources in their order, repeating; share of all words to take; most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -85,7 +85,7 @@ def _reduce(seed: int, final: bool):
                 whole, frac = True, float(_draw(seed, values["key"], values["size"]) < frac)
             return values | {"frac": frac, "settled": whole}
 
-        for batch in batches:
+        for batch in slices(batches):
             schema, out = batch.schema, []
             for values in batch.to_pylist():
                 if held and values["node"] != node:

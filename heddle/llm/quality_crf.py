@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import table
+from heddle.llm.common import slices, table
 
 #: Labelled documents to train on, at most (by the smallest hashes of their ids), and lines of each that are used.
 TRAINING_DOCS, TRAINING_LINES = 2000, 32
@@ -182,7 +182,7 @@ def classify(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, id_col:
     """(id, held_out, score, predicted) of every row of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             s = scores(texts, *model) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
