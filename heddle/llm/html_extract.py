@@ -164,9 +164,10 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
 
 
 def fit_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = TRAINING_PAGES) -> dict[str, float]:
-    """Weights from at most ``most`` pages: those that come first by the hash of their id. Executors count, the driver
-    adds up one row per tag."""
-    some = pages.select(F.col(f"`{html_col}`").alias("html"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{id_col}`").alias("id")).orderBy("h", "id").limit(most)
+    """Weights from the pages of at most ``most`` ids: those that come first by their hash. The ids are chosen without
+    their pages and then broadcast, ``most`` rows; executors count, the driver adds up one row per tag."""
+    ids = pages.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+    some = pages.select(F.col(f"`{html_col}`").alias("html"), F.col(f"`{id_col}`").alias("id")).join(F.broadcast(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
