@@ -35,7 +35,7 @@ LIMITS = (1024, 256, 1024)
 #: A window is packed when it holds so many examples or so many bytes of ids.
 WINDOW_ROWS, WINDOW_BYTES = 4096, 32 << 20
 #: Words whose ids a tokenizing worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -76,10 +76,7 @@ class Ids:
 
     def __init__(self, path: str) -> None:
         quiet_threads()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.tokenizer = path, None
         self.cache = Words(self.word)
         self.ranked = None
         if ranks := _ranks(path):
@@ -95,6 +92,11 @@ class Ids:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def of(self, text: str) -> bytes:
