@@ -1,0 +1,217 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filtered set join.
+
+A text is the set of its distinct ``width``-word shingles, as 64-bit hashes. All sets are sorted by one order; two sets of
+similarity ``similarity`` or more then share a shingle among the first n - ceil(similarity * n) + 1 of each, so an index
+of these prefixes finds every such pair. Shingles that are frequent in a sample come last in the order, which keeps the
+index thin and changes no result. Candidates whose sizes and places allow the similarity are compared by their texts.
+
+Equal sets fold into one code first. Candidates are verified in two rounds: neighbours in the index, then all pairs that
+the first round has not connected, so that a dense group costs few comparisons.
+
+Defined results: a null text is empty; texts without words are alike; a text of fewer than ``width`` words is one
+shingle; null ids are no candidates for the smallest; repeated rows stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from heddle.llm.common import bitmap_filter, passing, slices, written
+from heddle.llm.simhash import components
+
+WIDTH, SIMILARITY = 5, Fraction(4, 5)
+#: Documents sampled for the order, and frequent shingles put last: both only move work.
+SAMPLE, FREQUENT = 5000, 100_000
+PAIRS_OUT = 1 << 18
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word shingles of a text; words as in ``simhash.fingerprint``."""
+    from xxhash import xxh64_intdigest
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.empty(0, dtype=np.uint64)
+    known: dict[bytes, int] = {}
+    for w in found:
+        if w not in known:
+            known[w] = xxh64_intdigest(w, 5)
+    h = np.fromiter((known[w] for w in found), dtype=np.uint64, count=len(found))
+    n = max(1, len(h) - width + 1)
+    out = np.full(n, min(len(h), width), dtype=np.uint64)
+    for i in range(min(len(h), width)):
+        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(32)))
+
+
+def least_common(n: int, similarity: Fraction = SIMILARITY) -> int:
+    """Fewest shingles that a set of n shares with any set as similar as that."""
+    return -(-similarity.numerator * n // similarity.denominator)
+
+
+def alike(a: str | None, b: str | None, width: int = WIDTH, similarity: Fraction = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two texts is ``similarity`` or more, without rounding."""
+    x, y = shingles(a, width), shingles(b, width)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * similarity.denominator >= similarity.numerator * (len(x) + len(y) - common)
+
+
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(t).alias("hash"), t.alias("text"))
+
+
+def frequent(rows: DataFrame, width: int) -> np.ndarray:
+    """Sorted shingles that several documents of a sample share, at most FREQUENT of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            all_of = [shingles(t.as_py(), width) for t in batch.column(0)]
+            if all_of:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(all_of).view(np.int64))], names=["token"])
+
+    total = rows.count()
+    some = rows.where(F.pmod("hash", F.lit(max(1, total // SAMPLE))) == 0).select("hash", "text").dropDuplicates(["hash"])
+    counts = some.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow().column("token").to_numpy()
+    return np.sort(top.astype(np.int64).view(np.uint64))
+
+
+def prefixes(rows: DataFrame, width: int, similarity: Fraction, last: np.ndarray) -> DataFrame:
+    """(id, hash, code, n, prefix) of (id, hash, text): code names the set, prefix is what the index holds of it."""
+    schema = "id long, hash long, code long, n int, prefix array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in slices(batches, 500):
+            codes, sizes, parts = [], [], []
+            for t in batch.column(2):
+                own = shingles(t.as_py(), width)
+                codes.append(xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, own), len(last) - 1)
+                    late = last[at] == own
+                    own = np.concatenate([own[~late], own[late]])
+                parts.append(own[: len(own) - least_common(len(own), similarity) + 1].view(np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+            flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+            arrays = [batch.column(0), batch.column(1), pa.array(np.array(codes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "hash", "code", "n", "prefix"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of equal tokens, from batches sorted by token."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column("token").to_numpy()
+        if held and held[-1].column("token")[-1].as_py() != token[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        change = np.flatnonzero(token[1:] != token[:-1])
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose token another row has as well."""
+    for whole in _groups(batches):
+        token = whole.column("token").to_numpy()
+        same = token[1:] == token[:-1]
+        yield from whole.filter(pa.array(np.append(same, False) | np.append(False, same))).to_batches()
+
+
+def _candidates(similarity: Fraction, lags: int | None):
+    """Arrow function over (token, n, at, code, root) sorted by token and n: pairs (a, b) that sizes and places allow."""
+    p, q = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _groups(batches):
+            token, n, at, code, root = (whole.column(c).to_numpy() for c in ("token", "n", "at", "code", "root"))
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            here, lag, seen = np.arange(len(token)), 0, []
+            while len(here) and lag != lags:
+                lag += 1
+                here = here[here + lag < len(token)]
+                there = here + lag
+                # Sizes ascend within a token: once the other one is too large, so are all after it.
+                stay = (token[here] == token[there]) & (n[here] * q >= n[there] * p)
+                here, there = here[stay], there[stay]
+                most = np.minimum(at[here], at[there]) + np.minimum(n[here] - at[here], n[there] - at[there])
+                fit = (root[here] != root[there]) & (most * (p + q) >= p * (n[here] + n[there]))
+                a, b = code[here[fit]], code[there[fit]]
+                if len(a):
+                    seen.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                if seen and (not len(here) or lag == lags or sum(s.shape[1] for s in seen) > PAIRS_OUT):
+                    yield _pairs(seen)
+                    seen = []
+            if seen:
+                yield _pairs(seen)
+
+    return run
+
+
+def _pairs(seen: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.concatenate(seen, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0].copy()), pa.array(both[1].copy())], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, rows: DataFrame, base: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) of codes whose texts are as similar as that; texts are shuffled only for codes in pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            ok = [alike(x.as_py(), y.as_py(), width, similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct(), "ends")
+    names = written(base.select("code", "hash").join(ends, "code", "left_semi").groupBy("code").agg(F.min("hash").alias("hash")), "names")
+    texts = passing(rows.select("hash", "text"), bitmap_filter(names, ["hash"]), ["hash"]).dropDuplicates(["hash"])
+    texts = written(texts.join(names, "hash").select("code", "text"), "texts")
+    left = pairs.join(texts.select(F.col("code").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(texts.select(F.col("code").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(run, "a long, b long"), "links")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """(id, component) of every row of ``df``; the component is the smallest id reachable by links."""
+    rows = _named(df, id_col, text_col)
+    base = written(prefixes(rows, width, similarity, frequent(rows, width)), "prefixes")
+    one = base.select("code", "n", "prefix").dropDuplicates(["code"])
+    tokens = one.select("code", "n", F.posexplode("prefix").alias("at", "token"))
+
+    def by_token(df: DataFrame, *then: str | Column) -> DataFrame:
+        return df.repartition("token").sortWithinPartitions("token", *then)
+
+    shared = written(by_token(tokens.select("token", "n", "at", "code")).mapInArrow(_shared, "token long, n int, at int, code long"), "shared")
+    first = by_token(shared.withColumn("root", F.col("code")), "n", "code").mapInArrow(_candidates(similarity, 1), "a long, b long")
+    links = verified(written(first.distinct(), "pairs"), rows, base, width, similarity)
+    roots = written(components(links), "roots")
+    rest = shared.join(roots.withColumnRenamed("v", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    rest = by_token(rest.select("token", "n", "at", "code", "root"), "n", "code").mapInArrow(_candidates(similarity, None), "a long, b long")
+    more = verified(written(rest.distinct(), "pairs"), rows, base, width, similarity)
+    roots = components(links.unionByName(more)).withColumnRenamed("v", "code")
+    codes = base.groupBy("code").agg(F.min("id").alias("least"))
+    rooted = written(codes.join(roots, "code", "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = written(rooted.join(smallest, "root").select("code", "component"), "components")
+    return base.select("id", "code").join(named, "code").select("id", "component")

@@ -1,0 +1,76 @@
+"""The pipeline's near-dedup stage against brute-force Jaccard similarity of five-word shingles."""
+
+import random
+from collections import defaultdict
+
+import corpus_pipeline as P
+from heddle.llm import near_jaccard as J
+from heddle.llm.common import table
+from tests.conftest import SF
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def survivors(docs):
+    """Smallest ids of the components, by comparing all pairs that share a shingle."""
+    sets = {d: shingle_set(t) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    at = defaultdict(list)
+    for d, s in sorted(sets.items()):
+        for g in s or {()}:
+            at[g].append(d)
+    common = defaultdict(int)
+    for ids in at.values():
+        for i, a in enumerate(ids):
+            for b in ids[:i]:
+                common[a, b] += 1
+    for (a, b), n in common.items():
+        if not sets[a] or 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d for d in sets if find(d) == d}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"edit{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_near_copies_beyond_three_bits_go(spark):
+    rng = random.Random(8)
+    docs = []
+    for g in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((40, 120, 600)))]
+        docs += [(10 * g + i, edited(rng, words, len(words) * i // 150)) for i in range(6)]
+    docs += [(1000, None), (1001, "  "), (1002, "one two"), (1003, "ONE  two"), (1004, "one three")]
+    df = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in P.near_dedup(spark, df, SF).collect()}
+    assert got == survivors(docs) and len(got) < 150
+
+
+def test_stage_equals_brute_force_jaccard(spark):
+    docs = table(spark, SF, "documents")
+    got = {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()}
+    assert got == survivors([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_dense_groups_and_frequent_shingles(spark, monkeypatch):
+    monkeypatch.setattr(J, "FREQUENT", 50)
+    rng = random.Random(2)
+    license = [f"l{i}" for i in range(60)]
+    docs = [(i, " ".join(license) + " " + " ".join(f"w{rng.randrange(9**9)}" for _ in range(60))) for i in range(150)]
+    words = [f"d{i}" for i in range(200)]
+    docs += [(1000 + i, edited(rng, words, 2)) for i in range(100)]
+    got = J.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 250 and {r.component for r in got} == survivors(docs) == {*range(150), 1000}
