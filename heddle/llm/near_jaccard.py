@@ -1,9 +1,10 @@
 """Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filtered set join.
 
 A text is the set of its distinct ``width``-word shingles, as 64-bit hashes. All sets are sorted by one order; two sets of
-similarity ``similarity`` or more then share a shingle among the first n - ceil(similarity * n) + 1 of each, so an index
-of these prefixes finds every such pair. Shingles that are frequent in a sample come last in the order, which keeps the
-index thin and changes no result. Candidates whose sizes and places allow the similarity are compared by their texts.
+similarity ``similarity`` or more then share EXTRA shingles among the first n - ceil(similarity * n) + EXTRA of each, so
+an index of these prefixes finds every such pair. Shingles that are frequent in a sample come last in the order, which
+keeps the index thin and changes no result. What two prefixes share bounds what the sets can share; only pairs that this
+bound leaves are compared by their texts.
 
 Equal sets fold into one code first. Candidates are verified in two rounds: neighbours in the index, then all pairs that
 the first round has not connected, so that a dense group costs few comparisons.
@@ -29,6 +30,8 @@ WIDTH, SIMILARITY = 5, Fraction(4, 5)
 #: Documents sampled for the order, and frequent shingles put last: both only move work.
 SAMPLE, FREQUENT = 5000, 100_000
 PAIRS_OUT = 1 << 18
+#: Shingles that two prefixes of similar sets have in common; sets with fewer give all of theirs.
+EXTRA = 8
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -57,6 +60,12 @@ def least_common(n: int, similarity: Fraction = SIMILARITY) -> int:
     return -(-similarity.numerator * n // similarity.denominator)
 
 
+def prefix_size(n: int, similarity: Fraction = SIMILARITY) -> int:
+    """Shingles of a set of n that the index holds; those of an empty set are none."""
+    least = least_common(n, similarity)
+    return n - least + min(EXTRA, least)
+
+
 def alike(a: str | None, b: str | None, width: int = WIDTH, similarity: Fraction = SIMILARITY) -> bool:
     """Whether the Jaccard similarity of two texts is ``similarity`` or more, without rounding."""
     x, y = shingles(a, width), shingles(b, width)
@@ -102,7 +111,7 @@ def prefixes(rows: DataFrame, width: int, similarity: Fraction, last: np.ndarray
                     at = np.minimum(np.searchsorted(last, own), len(last) - 1)
                     late = last[at] == own
                     own = np.concatenate([own[~late], own[late]])
-                parts.append(own[: len(own) - least_common(len(own), similarity) + 1].view(np.int64))
+                parts.append(own[: prefix_size(len(own), similarity)].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
             arrays = [batch.column(0), batch.column(1), pa.array(np.array(codes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
@@ -141,7 +150,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(similarity: Fraction, lags: int | None):
-    """Arrow function over (token, n, at, code, root) sorted by token and n: pairs (a, b) that sizes and places allow."""
+    """Arrow function over (token, n, at, code, root) sorted by token and n: pairs (a, b) that sizes and places allow, as
+    (a, b, na, nb, common) with their sizes and the number of tokens they were met at."""
     p, q = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +168,10 @@ def _candidates(similarity: Fraction, lags: int | None):
                 here, there = here[stay], there[stay]
                 most = np.minimum(at[here], at[there]) + np.minimum(n[here] - at[here], n[there] - at[there])
                 fit = (root[here] != root[there]) & (most * (p + q) >= p * (n[here] + n[there]))
-                a, b = code[here[fit]], code[there[fit]]
-                if len(a):
-                    seen.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                x, y = here[fit], there[fit]
+                x, y = np.where(code[x] < code[y], x, y), np.where(code[x] < code[y], y, x)
+                if len(x):
+                    seen.append(np.stack([code[x], code[y], n[x], n[y]]))
                 if seen and (not len(here) or lag == lags or sum(s.shape[1] for s in seen) > PAIRS_OUT):
                     yield _pairs(seen)
                     seen = []
@@ -171,8 +182,27 @@ def _candidates(similarity: Fraction, lags: int | None):
 
 
 def _pairs(seen: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.concatenate(seen, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0].copy()), pa.array(both[1].copy())], names=["a", "b"])
+    rows = np.concatenate(seen, axis=1)
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    first = np.flatnonzero(np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
+    common = np.diff(np.append(first, rows.shape[1]))
+    return pa.RecordBatch.from_arrays([*[pa.array(r[first]) for r in rows], pa.array(common.astype(np.int64))], names=["a", "b", "na", "nb", "common"])
+
+
+def possible(met: DataFrame, similarity: Fraction) -> DataFrame:
+    """Distinct pairs (a, b) whose prefixes share enough.
+
+    Of two prefixes take the one that ends first in the order: what the sets share up to there is in both prefixes, and
+    beyond it at most the rest of that set. The larger rest bounds it whichever ends first.
+    """
+    p, q = similarity.numerator, similarity.denominator
+
+    def rest(n: str) -> Column:
+        least = F.floor((F.col(n) * p + (q - 1)) / q)
+        return least - F.least(F.lit(EXTRA), least)
+
+    pairs = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("common").alias("common"))
+    return pairs.where((F.col("common") + F.greatest(rest("na"), rest("nb"))) * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, base: DataFrame, width: int, similarity: Fraction) -> DataFrame:
@@ -202,13 +232,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def by_token(df: DataFrame, *then: str | Column) -> DataFrame:
         return df.repartition("token").sortWithinPartitions("token", *then)
 
+    met = "a long, b long, na long, nb long, common long"
     shared = written(by_token(tokens.select("token", "n", "at", "code")).mapInArrow(_shared, "token long, n int, at int, code long"), "shared")
-    first = by_token(shared.withColumn("root", F.col("code")), "n", "code").mapInArrow(_candidates(similarity, 1), "a long, b long")
-    links = verified(written(first.distinct(), "pairs"), rows, base, width, similarity)
+    first = by_token(shared.withColumn("root", F.col("code")), "n", "code").mapInArrow(_candidates(similarity, 1), met)
+    links = verified(written(possible(first, similarity), "pairs"), rows, base, width, similarity)
     roots = written(components(links), "roots")
     rest = shared.join(roots.withColumnRenamed("v", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    rest = by_token(rest.select("token", "n", "at", "code", "root"), "n", "code").mapInArrow(_candidates(similarity, None), "a long, b long")
-    more = verified(written(rest.distinct(), "pairs"), rows, base, width, similarity)
+    rest = by_token(rest.select("token", "n", "at", "code", "root"), "n", "code").mapInArrow(_candidates(similarity, None), met)
+    more = verified(written(possible(rest, similarity), "pairs"), rows, base, width, similarity)
     roots = components(links.unionByName(more)).withColumnRenamed("v", "code")
     codes = base.groupBy("code").agg(F.min("id").alias("least"))
     rooted = written(codes.join(roots, "code", "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted")
