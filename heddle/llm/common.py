@@ -3,47 +3,65 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A word is a maximal run of characters outside these six: space, \t, \n, \v, \f, \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
-#: Where lineage is cut when the session names no shared folder (tests, one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/heddle"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, whole."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else what ``setCheckpointDir`` named. On one machine
+    (tests) a temporary folder stands in; on a cluster without either setting there is no such folder, an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return LOCAL_CHECKPOINTS
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and own.isDefined():
+        at = own.get()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="heddle-")
+        spark.sparkContext.setCheckpointDir(at)
+        at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return at.rstrip("/")
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there.
 
-    The files outlive lost executors and are removed when the driver's JVM ends.
+    The files outlive lost executors and are removed by ``discard`` or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heddle-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, at = _folder(spark, path)
+    folder.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    folder, at = _folder(df.sparkSession, df._written)
+    folder.delete(at, True)
 
 
 def words(text: Column) -> Column:
@@ -61,6 +79,11 @@ def _slot(keys: list[Column], bits: int) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit("bitmap")), F.lit(bits))
 
 
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many keys: 16 each, between 1 million and 134 million (16 MB), whatever the input."""
+    return min(1 << 27, max(1 << 20, 1 << (16 * max(keys, 1) - 1).bit_length()))
+
+
 def bitmap_filter(df: DataFrame, keys: list[str], bits: int = 1 << 23) -> DataFrame:
     """A filter over the keys of ``df``: at most bits / 32768 rows of 4 KB, whatever the number of keys.
 
@@ -99,6 +122,16 @@ def passing(df: DataFrame, bitmap: DataFrame, keys: list[str], bits: int = 1 <<
     return flagged(df, bitmap, keys, "_passes", bits).where("_passes").drop("_passes")
 
 
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Texts without the spans, which are sorted; each piece that stays is taken once."""
+    out = []
+    for t, a, b in zip(text, starts, ends, strict=True):
+        t, a, b = t.as_py(), a.as_py() or [], b.as_py() or []
+        out.append("".join(t[x:y] for x, y in zip([0, *b], [*a, len(t)], strict=True)))
+    return pa.array(out, pa.string())
+
+
 def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 23) -> DataFrame:
     """``df`` with the spans (id, hash, start, end) cut out of its texts; spans of a row don't overlap.
 
@@ -109,12 +142,7 @@ def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_
     cuts = spans.groupBy("id", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
     marked = flagged(docs, bitmap_filter(spans.select("id", "hash"), ["id", "hash"], bits), ["id", "hash"], "_cut", bits)
     t = F.coalesce(F.col(f"_in.`{text_col}`"), F.lit(""))
-    rest = F.aggregate(
-        "_cuts",
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
-        lambda a, c: F.struct(F.concat(a["t"], F.substring(t, a["at"] + 1, c["start"] - a["at"])).alias("t"), c["end"].alias("at")),
-        lambda a: F.concat(a["t"], F.substring(t, a["at"] + 1, F.length(t))),
-    )
+    rest = _without(t, F.col("_cuts.start"), F.col("_cuts.end"))
     left = F.when(F.col("_cuts").isNull(), F.col(f"_in.`{text_col}`")).otherwise(rest).alias(text_col)
     some = marked.where("_cut").join(cuts, ["id", "hash"], "left")
     own = [left if c == text_col else x for c, x in zip(df.columns, _unpacked(df), strict=True)]

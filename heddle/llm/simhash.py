@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import table, written
+from heddle.llm.common import discard, table, written
 
 RADIUS = 3
 #: Fingerprints of a node above which it is factored again, and times a node is factored at most.
-NODE_ROWS, LEVELS = 512, 3
-#: Fingerprints of a page, pages of a group, and the size of a node that is compared without an index.
-PAGE, FAN, DIRECT = 16, 8, 48
+NODE_ROWS, LEVELS = 512, 5
+#: Fingerprints of a page, groups summed up by one above them, and comparisons that a search may hold at once.
+PAGE, FAN, BLOCK = 16, 8, 1 << 20
 SEED = 42
 
 
@@ -91,60 +91,83 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _common(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mask and pattern of the bits that all codes of each group share."""
-    low, high = np.bitwise_and.reduceat(codes, starts), np.bitwise_or.reduceat(codes, starts)
-    mask = ~(low ^ high)
-    return mask, low & mask
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for count[0] places, then the same for the next."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - count), count)
 
 
-def page_links(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked places (i > j) of one node's codes, which lie in Gray order, by the hierarchy over their pages.
+class GrayIndex:
+    """Hierarchy over the codes of many nodes at once; the codes of a node lie together and in Gray order.
 
-    A node of the hierarchy keeps only the common bits that its parent lacks; differences add up on the way down.
+    The lowest level are pages of PAGE codes, each level above sums up FAN groups, up to FAN groups at the top of a node.
+    A group keeps the pattern of the bits that all below it share, as far as the group above lacks them.
     """
-    starts = np.arange(0, len(codes), PAGE)
-    mask, pattern = _common(codes, starts)
-    levels = [(mask, pattern)]
-    while len(levels[-1][0]) > FAN:
-        mask, pattern = levels[-1]
-        at = np.arange(0, len(mask), FAN)
-        low = np.bitwise_and.reduceat(mask, at)
-        first = np.repeat(pattern[at], np.diff(np.append(at, len(mask))))
-        agree = low & ~np.bitwise_or.reduceat((pattern ^ first) & np.repeat(low, np.diff(np.append(at, len(mask)))), at)
-        levels.append((agree, pattern[at] & agree))
-    own = []  # residual masks, top level first
-    for depth in range(len(levels) - 1, -1, -1):
-        mask, pattern = levels[depth]
-        above = np.repeat(levels[depth + 1][0], FAN)[: len(mask)] if depth + 1 < len(levels) else np.zeros_like(mask)
-        own.append((mask & ~above, pattern))
-    step = max(1, min(256, (1 << 20) // len(codes)))
-    for begin in range(0, len(codes), step):
-        query = np.arange(begin, min(begin + step, len(codes)))
-        who = np.repeat(query, len(own[0][0]))
-        node = np.tile(np.arange(len(own[0][0])), len(query))
-        gone = np.zeros(len(who), dtype=np.uint8)
-        for depth, (mask, pattern) in enumerate(own):
-            gone = gone + np.bitwise_count((codes[who] ^ pattern[node]) & mask[node])
-            stay = gone <= radius
-            who, node, gone = who[stay], node[stay], gone[stay]
-            if depth + 1 < len(own):
-                n = len(own[depth + 1][0])
-                child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                who, gone = np.repeat(who, FAN), np.repeat(gone, FAN)
-                there = child < n
-                who, node, gone = who[there], child[there], gone[there]
-        place = (node[:, None] * PAGE + np.arange(PAGE)).ravel()
-        who = np.repeat(who, PAGE)
-        there = place < who  # each pair once; places beyond the last code go too
-        who, place = who[there], place[there]
-        near = np.bitwise_count(codes[who] ^ codes[place]) <= radius
-        yield who[near], place[near]
-
-
-def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]], labels: np.ndarray | None = None) -> np.ndarray:
+
+    def __init__(self, codes: np.ndarray, first: np.ndarray) -> None:
+        self.codes, self.first = codes, first
+        self.size = np.diff(np.append(first, len(codes)))
+        self.owner = np.repeat(np.arange(len(first)), self.size)
+        below, begin, count = PAGE, first, self.size
+        levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while True:
+            count, at = -(-count // below), begin
+            owner = np.repeat(np.arange(len(first)), count)
+            begin = np.cumsum(count) - count
+            start = at[owner] + (np.arange(len(owner)) - begin[owner]) * below
+            if not levels:
+                low, high = np.bitwise_and.reduceat(codes, start), np.bitwise_or.reduceat(codes, start)
+                mask = ~(low ^ high)
+                levels.append((start, mask, low & mask))
+            else:
+                _, mask, pattern = levels[-1]
+                inside = np.diff(np.append(start, len(mask)))
+                same = ~np.bitwise_or.reduceat(pattern ^ np.repeat(pattern[start], inside), start)
+                agree = np.bitwise_and.reduceat(mask, start) & same
+                levels.append((start, agree, pattern[start] & agree))
+            if count.max(initial=0) <= FAN:
+                break
+            below = FAN
+        self.top = (begin, count)
+        self.levels = []  # top level first: where the children begin, own bits, pattern
+        above = np.zeros(len(levels[-1][1]), dtype=np.uint64)
+        for start, mask, pattern in reversed(levels):
+            self.levels.append((start, mask & ~above, pattern))
+            if len(self.levels) < len(levels):
+                above = np.repeat(mask, np.diff(np.append(start, len(levels[-len(self.levels) - 1][1]))))
+
+    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i > j) of all codes of one node that differ in ``radius`` bits or fewer.
+
+        A code goes down its node's hierarchy; differences add up, and a group is left with all below it when they exceed
+        the radius. Codes go in blocks, so what is held at once is bounded however large a node is.
+        """
+        work = np.cumsum(self.size[self.owner])
+        begin = 0
+        while begin < len(self.codes):
+            done = work[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(work, done + BLOCK, side="right")))
+            query = np.arange(begin, end)
+            own = self.owner[query]
+            count = self.top[1][own]
+            who, group = np.repeat(query, count), _spread(self.top[0][own], count)
+            gone = np.zeros(len(who), dtype=np.uint8)
+            for depth, (start, mask, pattern) in enumerate(self.levels):
+                gone = gone + np.bitwise_count((self.codes[who] ^ pattern[group]) & mask[group])
+                stay = gone <= radius
+                who, group, gone = who[stay], group[stay], gone[stay]
+                last = depth + 1 == len(self.levels)
+                total = len(self.codes) if last else len(self.levels[depth + 1][0])
+                count = np.append(start, total)[group + 1] - start[group]
+                who, gone, group = np.repeat(who, count), np.repeat(gone, count), _spread(start[group], count)
+            near = (group < who) & (np.bitwise_count(self.codes[who] ^ self.codes[group]) <= radius)
+            yield who[near], group[near]
+            begin = end
+
+
+def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """For each of n places the smallest place it is connected with."""
-    label = np.arange(n) if labels is None else labels
+    label = np.arange(n)
     for a, b in links:
         while len(a):
             x, y = label[a], label[b]
@@ -159,59 +182,52 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]], labels: np.nd
     return label
 
 
-def _search(radius: int):
-    """Arrow function over (path, key, fp) sorted by node and Gray rank: a spanning forest (a, b) of each node's links."""
+def whole_nodes(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole nodes, from batches sorted by the columns ``key``, with the places at which nodes begin."""
+    held: list[pa.RecordBatch] = []
 
-    def block(node: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(codes)
-        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        size = np.diff(np.append(first, n))
-        owner = np.repeat(np.arange(len(first)), size)
-        small = np.repeat(size <= DIRECT, size)
-
-        def direct() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            here = np.flatnonzero(small)
-            for lag in range(1, int(size[size <= DIRECT].max(initial=1))):
-                here = here[here + lag < n]
-                here = here[owner[here] == owner[here + lag]]
-                near = np.bitwise_count(codes[here] ^ codes[here + lag]) <= radius
-                yield here[near] + lag, here[near]
-
-        label = forest(n, direct())
-        for at, k in zip(first[size > DIRECT].tolist(), size[size > DIRECT].tolist(), strict=True):
-            label[at : at + k] = at + forest(k, page_links(codes[at : at + k], radius))
-        hung = np.flatnonzero(label != np.arange(n))
-        return codes[hung], codes[label[hung]]
+    def starts(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(max(t.num_rows - 1, 0), dtype=bool)
+        for c in key:
+            x = t.column(c).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy()
+            change |= x[1:] != x[:-1]
+        return np.flatnonzero(np.append(True, change))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def name(batch: pa.RecordBatch, i: int) -> tuple:
+        return tuple(batch.column(c)[i].as_py() for c in key)
 
-        def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(rows)
-            path, key, fp = (whole.column(c).to_numpy() for c in ("path", "key", "fp"))
-            # A node is one path and key: number the runs of equal pairs.
-            node = np.cumsum(np.append(False, (path[1:] != path[:-1]) | (key[1:] != key[:-1])))
-            a, b = block(node, fp.astype(np.int64).view(np.uint64))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def out() -> tuple[pa.Table, np.ndarray]:
+        whole = pa.Table.from_batches(held)
+        return whole, starts(whole)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            path, key = batch.column("path").to_numpy(), batch.column("key").to_numpy()
-            change = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1]))
-            if not len(change):
-                # The whole batch is one node: it ends what is held only if it is another.
-                if held and (held[-1].column("path")[-1].as_py(), held[-1].column("key")[-1].as_py()) != (path[0], key[0]):
-                    yield from out(held)
-                    held = []
-                held.append(batch)
-                continue
-            cut = int(change[-1]) + 1
-            yield from out([*held, batch.slice(0, cut)])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = int(starts(batch)[-1])
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield out()
             held = [batch.slice(cut)]
-        if held:
-            yield from out(held)
+            continue
+        # The whole batch is one node: it ends what is held only if it is another.
+        if held and name(held[-1], held[-1].num_rows - 1) != name(batch, 0):
+            yield out()
+            held = []
+        held.append(batch)
+    if held:
+        yield out()
+
+
+def _search(radius: int):
+    """Arrow function over (path, key, fp) sorted by node and Gray rank: a spanning forest (a, b) of each node's links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, first in whole_nodes(batches, "path", "key"):
+            codes = whole.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+            label = forest(len(codes), GrayIndex(codes, first).links(radius))
+            hung = np.flatnonzero(label != np.arange(len(codes)))
+            if len(hung):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[x].view(np.int64)) for x in (hung, label[hung])], names=["a", "b"])
 
     return run
 
@@ -220,29 +236,26 @@ def near_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """A spanning forest (a, b) of the links among the distinct values of the long column ``fp``.
 
     Every level counts its nodes first: a node of one fingerprint ends, one of at most NODE_ROWS is searched, a larger
-    one is factored by blocks of its free bits. After LEVELS levels 37 of 64 bits are fixed and what is left is searched
-    however large it is, by pages and in bounded memory per query block.
+    one is factored by blocks of its free bits. With a radius of 3, 15 of 64 bits are free after LEVELS levels, so a node
+    that is left then holds at most 32,768 distinct fingerprints, 256 KB.
     """
-    paths = [0]
-    rows = codes.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"), "fp")
+    blocks = radius + 1
+    masks = [0]
+    rows = codes.select(F.lit(0).alias("path"), "fp")
     found = None
     for level in range(1, LEVELS + 1):
-        nodes = []
-        for p, mask in enumerate(paths):
-            nodes.append([(p * (radius + 1) + i, m) for i, m in enumerate(node_masks(mask, radius))])
-        below = [F.array(*[F.struct(F.lit(q).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for q, m in own]) for own in nodes]
-        choice = below[0]
-        for p in range(1, len(below)):
-            choice = F.when(F.col("path") == p, below[p]).otherwise(choice)
-        rows = rows.select("fp", F.explode(choice).alias("n")).select("n.path", "n.key", "fp")
-        paths = [m for own in nodes for _, m in own]
+        masks = [m for above in masks for m in node_masks(above, radius)]
+        fixed = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
+        path = F.col("path") * blocks + F.col("block")
+        rows = rows.select("path", "fp", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("block")).select(path.alias("path"), "fp")
+        rows = rows.select("path", F.col("fp").bitwiseAND(F.get(fixed, F.col("path"))).alias("key"), "fp")
         sizes = rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = written(rows.join(sizes, ["path", "key"]), "nodes")
         here = rows if level == LEVELS else rows.where(F.col("size") <= NODE_ROWS)
         here = here.repartition("path", "key").sortWithinPartitions("path", "key", gray_rank(F.col("fp"))).select("path", "key", "fp")
         links = here.mapInArrow(_search(radius), "a long, b long")
         found = links if found is None else found.unionByName(links)
-        rows = rows.where(F.col("size") > NODE_ROWS).drop("size")
+        rows = rows.where(F.col("size") > NODE_ROWS).select("path", "fp")
         if level < LEVELS and rows.isEmpty():
             break
     return found
@@ -252,22 +265,25 @@ def components(links: DataFrame) -> DataFrame:
     """(v, root) for every end v of the links (a, b): root is the smallest end it is connected with.
 
     Alternating large-star and small-star steps; each is a minimum per vertex, combined before its shuffle, joined back
-    to the edges. Roots have no row of their own unless they are an end of some link, where v = root.
+    to the edges. Their number grows with the logarithm of the graph. A table is deleted once the next one is written.
+    Roots have no row of their own unless they are an end of some link, where v = root.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not now[0] or now == before:
+            break
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        discard(edges)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        discard(large)
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(edges.select("v", F.col("v").alias("root")).distinct())
 
 
@@ -275,7 +291,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, fp long, component) of every row of ``df``; the component is the smallest id reachable by links.
 
     Rows with one fingerprint fold into one code before any search, so copies never meet as pairs. A null text has the
-    fingerprint of an empty one; null ids are no candidates for the smallest; repeated rows stay.
+    fingerprint of an empty one; null ids are no candidates for the smallest; repeated rows stay; a very long text is
+    read whole, its shingles hashed in blocks; other columns are not read, whatever their names; an empty table gives an
+    empty result.
     """
     base = written(fingerprints(df, id_col, text_col, width), "fingerprints")
     codes = written(base.groupBy("fp").agg(F.min("id").alias("least")), "codes")

@@ -71,7 +71,7 @@ def test_page_index_finds_every_link(n):
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
     codes = codes[np.argsort(rank)]
-    assert list(S.forest(len(codes), S.page_links(codes, 3))) == linked(codes)
+    assert list(S.forest(len(codes), S.GrayIndex(codes, np.array([0])).links(3))) == linked(codes)
 
 
 def test_dense_group_is_factored_and_stays_linear(spark):
