@@ -16,6 +16,10 @@ from pyspark.sql.types import StringType
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+#: Bytes of a row group of an intermediate table: what a task holds while it writes one.
+ROW_GROUP = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, whole."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -45,7 +49,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heddle-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"parquet.block.size": ROW_GROUP} | options).parquet(path)
     folder, at = _folder(spark, path)
     folder.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -154,6 +158,8 @@ def slices(batches: Iterator, rows: int = 1000) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    # The worker may idle for long: what it holds in reserve goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def quiet_threads() -> None:
