@@ -79,7 +79,8 @@ def words(text: Column) -> Column:
 BITMAP_BITS = 32768
 
 
-def _slot(keys: list[Column], bits: int) -> Column:
+def slot_of(keys: list[Column], bits: int) -> Column:
+    """Place of some keys in a filter of so many bits."""
     return F.pmod(F.xxhash64(*keys, F.lit("bitmap")), F.lit(bits))
 
 
@@ -88,13 +89,14 @@ def filter_bits(keys: int) -> int:
     return min(1 << 27, max(1 << 20, 1 << (16 * max(keys, 1) - 1).bit_length()))
 
 
-def bitmap_filter(df: DataFrame, keys: list[str], bits: int = 1 << 23) -> DataFrame:
+def bitmap_filter(df: DataFrame, keys: list[str], bits: int = 1 << 23, slot: Column | None = None) -> DataFrame:
     """A filter over the keys of ``df``: at most bits / 32768 rows of 4 KB, whatever the number of keys.
 
     Its size is bounded by ``bits`` (1 MB by default), so it may be broadcast. A key of ``df`` always passes;
-    others pass at the rate at which the bitmap is full, and have to be told apart by what follows.
+    others pass at the rate at which the bitmap is full, and have to be told apart by what follows. ``slot`` takes the place
+    of keys where slots are known already.
     """
-    slot = _slot([F.col(k) for k in keys], bits)
+    slot = slot_of([F.col(k) for k in keys], bits) if slot is None else slot
     return (
         df.select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("_bucket"))
@@ -114,7 +116,7 @@ def _unpacked(df: DataFrame, name: str = "_in") -> list[Column]:
 def flagged(df: DataFrame, bitmap: DataFrame, keys: list[str], flag: str, bits: int = 1 << 23) -> DataFrame:
     """``df`` with the boolean ``flag``: the row's keys may be among those of the filter. The filter is broadcast, see
     its bound."""
-    slot = df.select(_packed(df), _slot([F.col(f"`{k}`") for k in keys], bits).alias("_slot"))
+    slot = df.select(_packed(df), slot_of([F.col(f"`{k}`") for k in keys], bits).alias("_slot"))
     slot = slot.withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot"))
     byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False)).alias(flag)

@@ -1,12 +1,14 @@
 """Exact deduplication by a log-structured merge index of digests (DataFrame functions only).
 
-Each input partition is a memtable: it folds its own rows by digest and flushes a run, a Parquet file sorted by digest
-with a Bloom filter on it. Compaction merges runs and keeps, for each digest, the winning identifier and the number of
-rows. A digest that more than one row has is a hit; the texts of hits, and of no others, are then compared byte by byte.
+Each input partition is a memtable: its (digest, id) rows are sorted where they lie and flushed, without a shuffle, as
+one run, a Parquet file with a Bloom filter and ranges of its digests. All runs share one filter of slots that more than
+one row has: a digest whose slot nobody shares is in no other run and is looked up nowhere. Compaction merges the other
+digests tier by tier, FAN_IN runs at a time, and keeps for each the winning identifier and the number of rows. A digest
+that more than one row has is a hit; the texts of hits, and of few others, are then compared byte by byte.
 
 Defined results: a null text counts as empty; a null id loses against any other; rows that repeat one id and text are
-one document's copies, of which one stays; an empty table gives an empty result. Columns other than the id and the text
-are not read.
+one document's copies, of which one stays; a very long text is hashed and compared whole; columns other than the id and
+the text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap_filter, passing, table, written
+from heddle.llm.common import bitmap_filter, filter_bits, flagged, passing, slot_of, table, written
 
-#: Parquet Bloom filter of a run: lookups of a few digests skip the files that can't hold them.
+#: Parquet Bloom filter of a run: a lookup of a few digests skips the files that can't hold them.
 RUN_FILTER = {"parquet.bloom.filter.enabled#digest": "true"}
+#: Runs that one step of compaction merges.
+FAN_IN = 64
 
 
 def sha256(text: Column) -> Column:
@@ -32,65 +36,80 @@ class DigestIndex:
         if keep not in ("smallest", "largest"):
             raise ValueError(f"keep: {keep!r} is neither 'smallest' nor 'largest'")
         self.best = F.min if keep == "smallest" else F.max
-        self.runs: list[DataFrame] = []
+        self.runs: DataFrame | None = None
+        self.count = 0
+
+    def _merged(self, rows: DataFrame, *key: str) -> DataFrame:
+        return rows.groupBy(*key, "digest").agg(self.best("id").alias("id"), F.sum("n").alias("n"))
 
     def flush(self, rows: DataFrame) -> None:
-        """Add (digest, id) rows as a run: folded by memtable, sorted by digest, written with its filter."""
-        run = rows.groupBy("digest").agg(self.best("id").alias("id"), F.count(F.lit(1)).alias("n"))
-        self.runs.append(written(run.sortWithinPartitions("digest"), "run", **RUN_FILTER))
-
-    def compact(self) -> DataFrame:
-        """Merge all runs into one; the identifier that wins among runs stays."""
-        if len(self.runs) > 1:
-            both = self.runs[0]
-            for run in self.runs[1:]:
-                both = both.unionByName(run)
-            merged = both.groupBy("digest").agg(self.best("id").alias("id"), F.sum("n").alias("n"))
-            self.runs = [written(merged.sortWithinPartitions("digest"), "run", **RUN_FILTER)]
-        return self.runs[0]
+        """Add (digest, id) rows: every partition is a memtable that becomes one sorted run; nothing is shuffled."""
+        first = self.count
+        run = rows.select((F.spark_partition_id() + first).alias("run"), "digest", "id", F.lit(1).cast("long").alias("n"))
+        run = written(run.sortWithinPartitions("digest"), "run", **RUN_FILTER)
+        self.runs = run if self.runs is None else self.runs.unionByName(run)
+        self.count = (run.agg(F.max("run")).first()[0] or first) + 1
+
+    def compact(self, rows: DataFrame | None = None) -> DataFrame:
+        """(digest, id, n) of all runs, or of ``rows`` of theirs, merged tier by tier into one run."""
+        rows, runs = self.runs if rows is None else rows, self.count
+        while runs > FAN_IN:
+            rows = self._merged(rows.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int")), "run")
+            rows, runs = written(rows.sortWithinPartitions("digest"), "run", **RUN_FILTER), -(-runs // FAN_IN)
+        return written(self._merged(rows).sortWithinPartitions("digest"), "run", **RUN_FILTER)
+
+    def shared(self) -> tuple[DataFrame, int]:
+        """Filter of the slots that more than one row of the runs has, and its bits."""
+        bits = filter_bits(self.runs.count())
+        slots = self.runs.groupBy(slot_of([F.col("digest")], bits).alias("slot")).agg(F.sum("n").alias("n")).where("n > 1")
+        return bitmap_filter(slots, [], bits, F.col("slot")), bits
 
     def hits(self) -> DataFrame:
-        """Digests of more than one row."""
-        return self.compact().where(F.col("n") > 1).select("digest")
+        """Digests of more than one row. Rows whose slot no other row has are left out before anything is merged."""
+        some, bits = self.shared()
+        return self.compact(passing(self.runs, some, ["digest"], bits)).where(F.col("n") > 1).select("digest")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=sha256) -> DataFrame:
     """One row per row of ``df``: id, digest, keep_id, group_size, kept.
 
     ``digest`` may be any function of the text: rows count as equal only if their bytes are, and a digest that two
-    different texts share is resolved by the texts themselves. Only texts of hits are shuffled, and a map task sends
-    each different one once, so a group of copies that holds a third of all rows is a handful of rows here.
+    different texts share is resolved by the texts themselves. Texts are folded by digest and bytes within each map task
+    before any is shuffled, so a group of copies that holds a third of all rows is a handful of rows here. Rows that a
+    filter of bounded size shows to be no hits are never shuffled.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     docs = docs.withColumn("digest", digest(F.col("text")))
     index = DigestIndex(keep)
     index.flush(docs.select("digest", "id"))
     hits = index.hits()
-    # The filter has a fixed size and is broadcast; what it lets through in error, the semi join drops.
-    found = passing(docs, bitmap_filter(hits, ["digest"]), ["digest"]).join(hits, "digest", "left_semi")
-    groups = written(
-        found.groupBy("digest", "text").agg(index.best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
-        "verified",
-    )
-    shared = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    # One row per digest, as a table: the join below then has two plain inputs, and a hot digest can be split.
-    each = index.compact().select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(0).alias("texts"))
-    each = each.where("group_size = 1").unionByName(shared.select("digest", "keep_id", "group_size", F.col("texts").cast("int").alias("texts")))
-    each = written(each, "groups")
-    # Rows with equal id and digest fold before the join and unfold after it: one of them is the copy that stays.
-    rows = docs.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("copies"))
-    sure = rows.join(each.where("texts <= 1").drop("texts"), "digest").select("id", "digest", "keep_id", "group_size", "copies")
-    split = each.where("texts > 1").select("digest")
+    bits = filter_bits(hits.count())
+    # What the filter lets through in error is a group of one row.
+    found = passing(docs, bitmap_filter(hits, ["digest"], bits), ["digest"], bits)
+    same = found.groupBy("digest", "text").agg(index.best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    same = written(same, "verified")
+    by = same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
+    by = written(by.where("texts > 1 OR group_size > 1"), "groups")
+    # Rows outside all groups are their own; the others fold by digest and id before the join and unfold after it: one of
+    # them is the copy that stays.
+    bits = filter_bits(by.count())
+    marked = flagged(docs, bitmap_filter(by, ["digest"], bits), ["digest"], "_group", bits)
+    one = F.lit(1).cast("long")
+    alone = marked.where("NOT _group").select("id", "digest", F.col("id").alias("keep_id"), one.alias("group_size"), one.alias("copies"))
+    rows = marked.where("_group").groupBy("digest", "id").agg(F.count(F.lit(1)).alias("copies"))
+    joined = rows.join(by, "digest", "left")
+    sure = joined.where("texts IS NULL OR texts = 1").select(
+        "id", "digest", F.when(F.col("texts").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", "copies").alias("group_size"), "copies",
+    )
     # Digests that different texts share: the texts decide.
     doubtful = (
-        found.join(split, "digest", "left_semi")
+        found.join(by.where("texts > 1").select("digest"), "digest", "left_semi")
         .groupBy("digest", "text", "id").agg(F.count(F.lit(1)).alias("copies"))
-        .join(groups.select("digest", "text", "keep_id", "group_size"), ["digest", "text"])
+        .join(same.select("digest", "text", "keep_id", "group_size"), ["digest", "text"])
         .select("id", "digest", "keep_id", "group_size", "copies")
     )
-    both = sure.unionByName(doubtful)
-    one = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return both.select("*", one.alias("copy")).select(
+    many = sure.unionByName(doubtful).select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return many.unionByName(alone.withColumn("copy", F.lit(1))).select(
         F.col("id").alias(id_col), "digest", "keep_id", F.col("group_size").cast("long").alias("group_size"),
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
     )

@@ -158,6 +158,21 @@ def test_index_runs_compact(spark):
         E.DigestIndex("any")
 
 
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_memtables_are_sorted_runs_that_merge_in_tiers(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(E, "FAN_IN", fan_in)
+    rows = spark.range(600).select((F.col("id") % 217).cast("string").alias("digest"), "id").repartition(9, "id")
+    index = E.DigestIndex("largest")
+    index.flush(rows)
+    assert index.count == 9 and "Exchange" not in rows.sortWithinPartitions("digest")._jdf.queryExecution().optimizedPlan().toString()
+    for path in index.runs.inputFiles():
+        run = [r.digest for r in spark.read.parquet(path).collect()]
+        assert run == sorted(run)
+    got = {r.digest: (r.id, r.n) for r in index.compact().collect()}
+    assert got == {str(k): (max(range(k, 600, 217)), len(range(k, 600, 217))) for k in range(217)}
+    assert {r.digest for r in index.hits().collect()} == {str(k) for k in range(217)}
+
+
 def test_exact_dedup_of_nothing(empty):
     assert E.exact_dedup(empty).count() == 0
 
