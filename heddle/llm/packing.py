@@ -10,7 +10,8 @@ into the next, and what a task leaves open at its end is cut into sequences whos
 no padding.
 
 Defined results: a null text is empty, an empty document is its end token alone; null ids and repeated rows are packed
-like any other; an empty table gives an empty result; other columns are not read.
+like any other; a very long text is encoded whole and its full sequences go out at once; examples alike in all dimensions
+tie and go in the order they came; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import quiet_threads, table
+from heddle.llm.common import quiet_threads, slices, table
 
 #: Capacity of a sequence: tokens, segments, loss-bearing tokens.
 LIMITS = (1024, 256, 1024)
+#: The same for conversations, where each of the three may be the one that runs out.
+CONVERSATION_LIMITS = (1024, 8, 512)
 #: A window is packed when it holds so many examples or so many bytes of ids.
 WINDOW_ROWS, WINDOW_BYTES = 4096, 32 << 20
 #: Words whose ids a tokenizing worker remembers.
@@ -79,6 +82,8 @@ class Ids:
         self.path, self.tokenizer = path, None
         self.cache = Words(self.word)
         self.ranked = None
+        added = json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens", ())
+        self.added = [t["content"] for t in added]
         if ranks := _ranks(path):
             import public_tokenizers
             import tiktoken
@@ -96,12 +101,14 @@ class Ids:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def of(self, text: str) -> bytes:
         if not text:
             return b""
+        # A token of its own, such as the end of a text, is one id wherever it stands.
+        if any(t in text for t in self.added):
+            return self.whole(text)
         # Single spaces and newlines between words, and no other white space: as many words as gaps and one, and no
         # character besides theirs.
         found, gaps = text.split(), text.count(" ") + text.count("\n")
@@ -313,6 +320,26 @@ def pack_examples(df: DataFrame, limits: tuple[int, int, int] = LIMITS) -> DataF
     return df.select(*cols).mapInArrow(run, "example_id long, start long, length long, loss_tokens long, sequence_id long, offset long")
 
 
+def conversation_examples(df: DataFrame, tokenizer: str) -> DataFrame:
+    """(example_id, tokens, loss_tokens) of conversations (conv_id, role, text): a turn has its ids and an end token; those of
+    the assistant bear loss. Turns without an id belong together, as a conversation of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(tokenizer)
+        for batch in slices(batches):
+            n = [len(ids.of(t.as_py() or "")) // 4 + 1 for t in batch.column(2)]
+            loss = [k if r.as_py() == "assistant" else 0 for k, r in zip(n, batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["example_id", "tokens", "loss_tokens"])
+
+    turns = df.select(F.col("conv_id").cast("long").alias("example_id"), "role", "text").mapInArrow(run, "example_id long, tokens long, loss_tokens long")
+    return turns.groupBy("example_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
+
+
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in sequences of at most 1024 tokens, 8 segments and 512 loss-bearing tokens."""
+    return pack_examples(conversation_examples(table(spark, sf_dir, "conversations"), tokenizer_path()), CONVERSATION_LIMITS)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     """Where the public tokenizer file ``name`` lies."""
     import public_tokenizers

@@ -10,7 +10,7 @@ from heddle.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from heddle.llm.html_extract import op6_html_extract
 from heddle.llm.line_dedup import op3_line_dedup
 from heddle.llm.mixing import op8_mixing
-from heddle.llm.packing import op2_packing
+from heddle.llm.packing import op2_packing, pack_conversations
 from heddle.llm.quality_crf import op7_quality_classifier
 from heddle.llm.quality_rules import OP10_SQL, op10_quality_rules
 from heddle.llm.secrets import op5_secrets
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "pack_conversations": pack_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
