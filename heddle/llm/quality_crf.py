@@ -3,10 +3,12 @@
 Every line is good or bad; its state depends on features of the line and of its neighbours and on the states beside it.
 A document's score is the mean probability of "good" over its lines, weighted by their lengths, from the forward-backward
 marginals. Training takes the documents' labels as the labels of all their lines, on a bounded sample of labelled
-documents; scoring reads every line of every text. Inputs are the characters of the text and nothing else.
+documents with all lines they have; scoring reads every line of every text. Inputs are the characters of the text and nothing else.
 
 Defined results: a null or blank text is one empty line; null ids are scored and count as not held out; repeated rows
-stay; without any label all scores are 0.5; very long texts are scored whole; an empty table gives an empty result.
+stay; an id with several texts is trained on by the one with the smallest hash; an id with several labels counts as good
+if one says so; without any label all scores are 0.5; very long texts are scored whole; other columns are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import slices, table
 
-#: Labelled documents to train on, at most (by the smallest hashes of their ids), and lines of each that are used.
-TRAINING_DOCS, TRAINING_LINES = 2000, 32
+#: Labelled documents to train on, at most: those with the smallest hashes of their ids, as far as their lines add up to
+#: TRAINING_LINES, 14 numbers each. A document is taken with all its lines or not at all.
+TRAINING_DOCS, TRAINING_LINES = 2000, 100_000
 THRESHOLD = 0.7
 
 #: Classes of bytes: other, space, lower case and bytes above ASCII, upper case, digit, then signs of their own.
@@ -103,30 +106,69 @@ def marginals(unary: np.ndarray, lines: np.ndarray, pair: np.ndarray, share: np.
     return good, moves
 
 
+def alike(size: np.ndarray, most: int = 200_000) -> Iterator[np.ndarray]:
+    """Places of chains in groups of like length, so that a batch of them is little padded and holds ``most`` lines or one
+    chain."""
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        top = max(size[order[at]] * 1.25, 4)
+        end = at + 1
+        while end < len(order) and size[order[end]] <= top and (end + 1 - at) * size[order[end]] <= most:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def likelihood(docs: list[np.ndarray], labels: np.ndarray, theta: np.ndarray, pair: np.ndarray) -> float:
+    """Mean log likelihood per line of chains (lines x DIM) whose lines all have their document's label."""
+    total = 0.0
+    for d, y in zip(docs, labels, strict=True):
+        unary = d @ theta
+        state = np.array([0.0, unary[0]])
+        for u in unary[1:]:
+            state = np.logaddexp(state[0] + pair[0], state[1] + pair[1]) + np.array([0.0, u])
+        own = y * unary.sum() + (len(d) - 1) * pair[int(y), int(y)]
+        total += (own - np.logaddexp(*state)) / len(d)
+    return total / len(docs)
+
+
+def gradient(batches: list[tuple], theta: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Gradient of ``likelihood`` over batches of like chains, as one vector: DIM weights, then 4 transitions."""
+    out = np.zeros(DIM + 4)
+    for batch, lines, labels, n in batches:
+        real = np.arange(batch.shape[1])[None] < lines[:, None]
+        per = real / lines[:, None] / n
+        good, got = marginals(batch @ theta, lines, pair, 1 / lines / n)
+        inner = np.maximum(lines - 1, 0) / lines / n
+        want = np.array([[(inner * (1 - labels)).sum(), 0.0], [0.0, (inner * labels).sum()]])
+        out += np.concatenate([np.einsum("nt,ntd->d", (labels[:, None] - good) * per, batch), (want - got).ravel()])
+    return out
+
+
+def batched(docs: list[np.ndarray], labels: np.ndarray) -> list[tuple]:
+    """Chains of like length as padded arrays, with their lengths and labels."""
+    size = np.array([len(d) for d in docs])
+    out = []
+    for group in alike(size):
+        batch = np.zeros((len(group), size[group].max(), DIM))
+        for row, i in enumerate(group):
+            batch[row, : size[i]] = docs[i]
+        out.append((batch, size[group], labels[group], len(docs)))
+    return out
+
+
 def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 100, rate: float = 0.15, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (DIM) and transitions (2 x 2) by gradient ascent (Adam) on the mean log likelihood per line; every document
     counts alike however many lines it has. Deterministic."""
-    x = [with_neighbours(d)[:TRAINING_LINES] for d in docs]
-    lines = np.array([len(d) for d in x])
-    steps = lines.max()
-    batch = np.zeros((len(x), steps, DIM))
-    for i, d in enumerate(x):
-        batch[i, : len(d)] = d
-    real = np.arange(steps)[None] < lines[:, None]
-    per = real / lines[:, None] / len(x)
-    share = (labels / lines / len(x))[:, None] * real
-    theta, pair = np.zeros(DIM), np.zeros((2, 2))
+    batches = batched([with_neighbours(d) for d in docs], labels)
+    theta = np.zeros(DIM + 4)
     m, v = np.zeros(DIM + 4), np.zeros(DIM + 4)
-    inner = np.maximum(lines - 1, 0) / lines / len(x)
-    want = np.array([[(inner * (1 - labels)).sum(), 0.0], [0.0, (inner * labels).sum()]])
     for k in range(1, rounds + 1):
-        unary = batch @ theta
-        good, got = marginals(unary, lines, pair, 1 / lines / len(x))
-        grad = np.concatenate([np.einsum("nt,ntd->d", share - good * per, batch) - decay * theta, (want - got).ravel() - decay * pair.ravel()])
+        grad = gradient(batches, theta[:DIM], theta[DIM:].reshape(2, 2)) - decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        theta, pair = theta + step[:DIM], pair + step[DIM:].reshape(2, 2)
-    return theta, pair
+        theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return theta[:DIM], theta[DIM:].reshape(2, 2)
 
 
 def scores(texts: list[str | None], theta: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -134,14 +176,7 @@ def scores(texts: list[str | None], theta: np.ndarray, pair: np.ndarray) -> np.n
     found = [line_features(t) for t in texts]
     out = np.empty(len(texts))
     size = np.array([len(f[1]) for f in found])
-    order = np.argsort(size, kind="stable")
-    at = 0
-    while at < len(order):
-        top = max(size[order[at]] * 1.25, 4)
-        end = at + 1
-        while end < len(order) and size[order[end]] <= top and (end - at) * size[order[end]] < 200_000:
-            end += 1
-        group = order[at:end]
+    for group in alike(size):
         lines = size[group]
         unary, weight = np.zeros((len(group), lines.max())), np.zeros((len(group), lines.max()))
         for row, i in enumerate(group):
@@ -149,7 +184,6 @@ def scores(texts: list[str | None], theta: np.ndarray, pair: np.ndarray) -> np.n
             weight[row, : size[i]] = found[i][1]
         good, _ = marginals(unary, lines, pair)
         out[group] = (good * weight).sum(axis=1) / weight.sum(axis=1)
-        at = end
     return np.clip(out, 0.0, 1.0)
 
 
@@ -161,18 +195,25 @@ def held_out(id_col: str = "doc_id"):
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAINING_DOCS) -> tuple[np.ndarray, np.ndarray] | None:
     """Model from at most ``most`` labelled documents outside the held-out part; None without any.
 
-    The ids are chosen first; only the features of those documents come to the driver.
+    The ids are chosen first and broadcast, ``most`` rows; the driver gets the features of one text of each, at most
+    TRAINING_LINES lines in all.
     """
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     ids = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), "id")
+    text = F.col(f"`{text_col}`")
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text")).join(F.broadcast(ids), "id")
+    docs = docs.groupBy("id", "label").agg(F.min_by("text", "hash").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [line_features(t.as_py())[0][: TRAINING_LINES + 1] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([f.astype("<f4").tobytes() for f in found])], names=["id", "label", "lines"])
-
-    rows = sorted(docs.select("id", "label", "text").mapInArrow(run, "id long, label int, lines binary").collect(), key=lambda r: (r.id, r.lines))
+        for batch in slices(batches):
+            found = [line_features(t.as_py())[0] for t in batch.column("text")]
+            n = pa.array([len(f) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), n, pa.array([f.astype("<f4").tobytes() for f in found])], names=["id", "label", "n", "lines"])
+
+    rows = docs.select("id", "label", "text").mapInArrow(run, "id long, label int, n long, lines binary")
+    # At most ``most`` rows meet in this window.
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= TRAINING_LINES).collect()
     if not rows:
         return None
     return fit([np.frombuffer(r.lines, dtype="<f4").astype(float).reshape(-1, OWN) for r in rows], np.array([float(r.label > 0) for r in rows]))

@@ -25,7 +25,6 @@ def check_packing(pieces, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.tokenizer_path())
-    tok.encode_special_tokens = True
     want = Counter()
     for d, t in texts:
         ids = np.append(np.array(tok.encode(t or "", add_special_tokens=False).ids, dtype="<u4"), np.array([0], dtype="<u4"))
@@ -70,6 +69,36 @@ def test_words_are_encoded_as_the_tokenizer_does(text):
     assert ids.of(text) == ids.whole(text)
 
 
+def test_special_tokens_are_one_id():
+    ids = P.Ids(P.tokenizer_path())
+    assert np.frombuffer(ids.of("<|endoftext|>"), dtype="<u4").tolist() == [50256]
+    assert 50256 in np.frombuffer(ids.of("a b<|endoftext|> c"), dtype="<u4").tolist()
+
+
+def test_conversations_stay_within_all_limits(spark, duck):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.tokenizer_path())
+    tokens, loss = Counter(), Counter()
+    for c, role, text in duck.sql("SELECT conv_id, role, text FROM conversations").fetchall():
+        n = len(tok.encode(text or "", add_special_tokens=False).ids) + 1
+        tokens[c] += n
+        loss[c] += n * (role == "assistant")
+    rows = QUERIES["pack_conversations"](spark, SF).collect()
+    got, lost, by = Counter(), Counter(), defaultdict(list)
+    for r in rows:
+        got[r.example_id] += r.length
+        lost[r.example_id] += r.loss_tokens
+        by[r.sequence_id].append(r)
+    assert got == tokens and lost == loss
+    for own in by.values():
+        assert sum(r.length for r in own) <= 1024 and len(own) <= 8 and sum(r.loss_tokens for r in own) <= 512
+    # Any two sequences that could be one would have been: some limit would be broken.
+    sums = sorted((sum(r.length for r in own), len(own), sum(r.loss_tokens for r in own)) for own in by.values())
+    a, b = sums[:2]
+    assert any(x + y > most for x, y, most in zip(a, b, P.CONVERSATION_LIMITS, strict=True))
+
+
 def test_examples_stay_whole_within_all_limits(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(t), int(t * f)) for i, (t, f) in enumerate(zip(rng.integers(1, 900, 400), rng.random(400), strict=True))] + [(400, 3000, 10), (401, None, None)]
@@ -279,6 +308,32 @@ def test_marginals_equal_enumeration():
     assert np.allclose(good[0], want / total) and np.allclose(moves, steps / total)
 
 
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(1)
+    docs = [C.with_neighbours(rng.random((n, C.OWN))) for n in (1, 2, 5, 9, 40)]
+    labels = np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+    theta, pair = rng.normal(size=C.DIM) * 0.3, rng.normal(size=(2, 2))
+    got = C.gradient(C.batched(docs, labels), theta, pair)
+    whole, step = np.concatenate([theta, pair.ravel()]), 1e-6
+    for i in (0, 7, C.DIM - 1, *range(C.DIM, C.DIM + 4)):
+        up, down = whole.copy(), whole.copy()
+        up[i] += step
+        down[i] -= step
+        f = lambda x: C.likelihood(docs, labels, x[: C.DIM], x[C.DIM :].reshape(2, 2))
+        assert got[i] == pytest.approx((f(up) - f(down)) / (2 * step), abs=1e-6)
+
+
+def test_training_takes_one_text_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C, "fit", lambda docs, labels: seen.append([len(d) for d in docs]))
+    a, b = [i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    docs = spark.createDataFrame([(a, f"text {i}\n" * 50) for i in range(50)] + [(b, "x\n" * 70)], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int")
+    C.train(docs, labels, most=1)
+    C.train(docs, labels)
+    assert [len(s) for s in seen] == [1, 2] and sorted(seen[1]) == [50, 70]
+
+
 def test_classifier_odd_rows(odd, empty):
     labels = odd.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     model = C.train(odd, labels)
@@ -367,7 +422,8 @@ def test_ablation_counts(spark):
     df = spark.createDataFrame([(1, text), (2, "few words"), (3, text.upper()), (4, "A B"), (5, None)], "doc_id long, text string")
     book = R.ledger(df)
     got = {r.rule: (r.failed, r.only) for r in R.ablation(book).collect()}
-    assert got["few_words"] == (3, 2) and got["capitals"][0] == 2
+    # Of "A B" both letters are capitals; the upper-cased text has 60 among 170 characters, which is not over half.
+    assert got["few_words"] == (3, 2) and got["capitals"] == (1, 0)
     kept = {r.doc_id for r in R.apply_policy(book).where("kept").collect()}
     assert kept == {1}
     with pytest.raises(KeyError):
