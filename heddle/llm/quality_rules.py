@@ -3,8 +3,9 @@
 Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per rule; policies are
 named, versioned masks over those bits, so a new policy or an ablation never reads a text again.
 
-Defined results: a null text counts as empty; null ids and repeated rows keep their rows; other columns are not touched;
-an empty table gives an empty ledger.
+Defined results: a null text counts as empty; null ids and repeated rows keep their rows; a very long text is measured
+whole, with one hash for each of its words; other columns are not touched, those named like a column of the ledger get
+``_in`` at the end of their names; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -52,52 +53,63 @@ def policy_mask(name: str = "default", version: int = 1) -> int:
     return sum(1 << bits[n] for n in POLICIES[name, version])
 
 
+def own_columns(df: DataFrame) -> tuple[list[Column], list[str]]:
+    """Columns of ``df`` and their names; those named like a column of the ledger get ``_in`` at the end."""
+    taken = {*MEASURES, "fail_bits", "kept"}
+    names = [f"{c}_in" if c in taken else c for c in df.columns]
+    return [F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)], names
+
+
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the measurements as long columns named ``MEASURES``; columns of ``df`` with those names give way.
+    """``df`` with the measurements as long columns named ``MEASURES``.
 
-    n_repeat_words counts the words inside some 3-word window that the text holds twice or more, the first included.
-    The windows are sorted inside the row with their positions, so there is no shuffle however long a text is.
+    n_repeat_words counts the words inside some 3-word window that the text holds twice or more, the first included. A row
+    holds a 64-bit hash for each window; windows of equal hashes, and no others, are then compared as strings. All stays
+    inside the row, so there is no shuffle however long a text is.
     """
-    own = [c for c in df.columns if c not in MEASURES and c not in ("fail_bits", "kept")]
-    packed, names = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_in"), ["_in"]
+    own, names = own_columns(df)
+    packed = F.struct(*own).alias("_in")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CLASS))
     one = df.select(packed, t.alias("_t"), words(F.col(f"`{text}`")).alias("_w"), lines.alias("_l"))
-    windows = F.when(
+    hashes = F.when(
         F.size("_w") >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.size("_w") - 3),
-            lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+        F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))),
+    ).otherwise(F.array().cast("array<long>"))
     two = one.select(
-        *names,
+        "_in", "_w",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("_t", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        windows.alias("_win"),
-    )
+        hashes.alias("_h"),
+    )
     kept = [F.col(c) for c in MEASURES[:-1]]
-    # Only texts that repeat a window pay for the sort.
-    some = F.size(F.array_distinct("_win")) < F.size("_win")
-    pairs = F.when(some, F.sort_array(F.transform("_win", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
-    three = two.select(*names, *kept, pairs.alias("_p"))
-    twice = F.filter(
-        "_p",
-        lambda x, k: F.coalesce(F.get("_p", k + 1)["w"] == x["w"], F.lit(False))
-        | ((k > 0) & F.coalesce(F.get("_p", F.greatest(k - 1, F.lit(0)))["w"] == x["w"], F.lit(False))),
-    )
-    four = three.select(*names, *kept, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("_at"))
+
+    def repeated(array: str) -> Column:
+        """Entries (k, i) of a sorted array whose k the entry before or after has as well."""
+
+        def same(j: Column, k: Column) -> Column:
+            return F.coalesce(F.get(array, j)["k"] == k, F.lit(False))
+
+        return F.filter(array, lambda x, j: same(j + 1, x["k"]) | ((j > 0) & same(F.greatest(j - 1, F.lit(0)), x["k"])))
+
+    # Only texts that repeat a window pay for the sorts.
+    some = F.size(F.array_distinct("_h")) < F.size("_h")
+    three = two.select("_in", "_w", *kept, F.when(some, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("k"), i.alias("i"))))).alias("_p"))
+    four = three.select("_in", "_w", *kept, repeated("_p").alias("_p"))
+    window = F.transform("_p", lambda x: F.struct(F.concat_ws(" ", F.get("_w", x["i"]), F.get("_w", x["i"] + 1), F.get("_w", x["i"] + 2)).alias("k"), x["i"].alias("i")))
+    five = four.select("_in", *kept, F.sort_array(window).alias("_p"))
+    six = five.select("_in", *kept, F.sort_array(F.transform(repeated("_p"), lambda x: x["i"])).alias("_at"))
     covered = F.aggregate(
         "_at",
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return four.select(*[F.col(f"_in.`{c}`").alias(c) for c in own], *kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return six.select(*[F.col(f"_in.`{c}`").alias(c) for c in names], *kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def failure_bits() -> Column:
