@@ -1,13 +1,15 @@
 """Line deduplication by a rolling hash over lines.
 
 The hash rolls over every window of MIN_LINES consecutive lines with words, so each repeated passage of that many lines or
-more is seen whole, wherever it stands and whatever surrounds it. Windows that occur more than once are compared byte by
+more is seen whole, wherever it stands and whatever surrounds it. (Chunks cut at content-defined boundaries are seen only if
+a whole chunk lies inside a passage: with texts of some six lines they miss most passages. The README has figures.) Windows that occur more than once are compared byte by
 byte; the first by (id, place) stays. Later windows that follow one another, and repeat windows that follow one another
 in one text, join to one span. The first occurrence of a line is never removed: no window that holds it is a later one.
 
 Defined results: a null text is empty and has no windows; blank lines count as bytes of a window but not as lines; of a
 line that follows itself several times the first stays; rows with a null id are not changed and come last in rank; rows
-that repeat id and text are one occurrence; an empty table gives an empty result.
+that repeat id and text are one occurrence; a very long text is read whole, its windows leave in blocks of bounded size;
+other columns keep their values, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,28 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap_filter, passing, slices, table, without_spans, written
+from heddle.llm.common import bitmap_filter, filter_bits, passing, slices, table, without_spans, written
 
-#: One in so many places between lines ends a chunk of ``chunk_spans``. Lines with words that a removed passage needs.
-DIVISOR, MIN_LINES = 4, 2
-
-
-def chunk_spans(text: str, divisor: int = DIVISOR) -> list[tuple[int, int, int]]:
-    """(start, end, lines with words) of the chunks of a text; they cover it, newlines included."""
-    from xxhash import xxh64_intdigest
-
-    out, start, at, n, before = [], 0, 0, 0, 0
-    for line in text.split("\n"):
-        here = xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 3)
-        at += len(line) + 1
-        n += bool(line.strip())
-        if ((before * 0x9E3779B97F4A7C15 + here) >> 17) % divisor == 0:
-            out.append((start, min(at, len(text)), n))
-            start, n = at, 0
-        before = here
-    if start < len(text):
-        out.append((start, len(text), n))
-    return out
+#: Lines with words that a removed passage needs.
+MIN_LINES = 2
 
 
 def window_spans(text: str, min_lines: int = MIN_LINES) -> list[tuple[int, int]]:
@@ -97,7 +81,8 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, min_lines: int)
     """
     found = written(windows(df, id_col, text_col, min_lines, False), "windows")
     often = written(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "digests")
-    whole = passing(windows(df, id_col, text_col, min_lines, True), bitmap_filter(often, ["digest"]), ["digest"])
+    bits = filter_bits(often.count())
+    whole = passing(windows(df, id_col, text_col, min_lines, True), bitmap_filter(often, ["digest"], bits), ["digest"], bits)
     same = written(whole.groupBy("digest", "chunk").agg(F.min(rank()).alias("keep"), F.count(F.lit(1)).alias("n")), "compared")
     by = same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.first("keep").alias("keep"), F.sum("n").alias("n"))
     by = written(by.where("n > 1").select("digest", "texts", "keep"), "kept")
@@ -129,11 +114,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return runs.select("id", "hash", F.col("from").alias("start"), "end", (F.col("last") + min_lines - F.col("line")).alias("lines"), keep.alias("keep"))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, divisor: int = DIVISOR) -> DataFrame:
-    """``df`` without its repeated passages. Texts that nothing repeats are as they were; others may end up empty.
-
-    ``divisor`` has no effect: every window is indexed.
-    """
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """``df`` without its repeated passages. Texts that nothing repeats are as they were; others may end up empty."""
     cuts = written(repeated_passages(df, id_col, text_col, min_lines), "cuts")
     return without_spans(df, cuts, id_col, text_col)
 

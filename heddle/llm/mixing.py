@@ -8,7 +8,9 @@ in a reduction tree of fixed fan-in until one per source is left, so a source's
 document.
 
 Defined results: a null text has size 0; documents of size 0 take no words; null sources are one source, the last; null
-ids and repeated rows are documents like any other; an empty table gives an empty result. Draws depend on nothing but
+ids and repeated rows are documents like any other; rows that tie in id, size and source are drawn in any order, which
+changes no count of copies; a very long text is one document; columns to carry are packed, so their names meet none used
+here; an empty table gives an empty result. Draws depend on nothing but
 ids, sizes and the seed: reruns agree.
 """
 

@@ -7,7 +7,8 @@ they stand in a run of consecutive repeated units with MIN_WORDS words or more,
 are offsets into the original text, in code points.
 
 Defined results: a null text is empty and has no units; rows with a null id come last in rank and keep their text; rows
-that repeat id and text are one occurrence; an empty table gives an empty result.
+that repeat id and text are one occurrence; a very long text is read whole, its units leave in blocks; other columns keep
+their values, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -97,32 +97,8 @@ def test_simhash_odd_rows(odd, empty):
 # --- op3 ------------------------------------------------------------------------------------------------------------
 
 
-def test_line_chunks_equal_brute_force(spark, duck):
-    first, want = {}, set()
-    for d, t in sorted(documents(duck)):
-        for start, end, n in L.chunk_spans(t or ""):
-            if n < 2:
-                continue
-            key = t[start:end].rstrip("\n")
-            if key in first:
-                want.add((d, start, end, *first[key]))
-            else:
-                first[key] = (d, start)
-    got = {(r.doc_id, r.start, r.end, r.keep_doc_id, r.keep_start) for r in QUERIES["op3_line_dedup"](spark, SF).collect()}
-    assert got == want
-
-
-def test_chunks_cover_texts_and_resist_shifts():
-    text = "\n".join(f"line number {i} of the text" for i in range(200))
-    spans = L.chunk_spans(text)
-    assert "".join(text[a:b] for a, b, _ in spans) == text
-    tails = {text[a:b] for a, b, _ in spans[3:]}
-    moved = "new first line\n" + text
-    assert tails <= {moved[a:b] for a, b, _ in L.chunk_spans(moved)}
-
-
 def test_line_dedup_odd_rows(odd, empty):
-    out = {(r.doc_id, r.text) for r in L.line_dedup(odd, divisor=1 << 30).collect()}
+    out = {(r.doc_id, r.text) for r in L.line_dedup(odd).collect()}
     texts = dict(out - {(None, None)})
     assert texts[2] == "" and texts[1].startswith("First") and texts[4] == "" and texts[3] is None
     assert any(d is None and t for d, t in out)
