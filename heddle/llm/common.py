@@ -164,6 +164,19 @@ def slices(batches: Iterator, rows: int = 1000) -> Iterator:
     pa.default_memory_pool().release_unused()
 
 
+#: Rows of an Arrow batch at most: texts may be long, and both the JVM and the Python worker hold whole batches.
+BATCH_ROWS = 2000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on cuts Arrow batches at BATCH_ROWS rows, or at fewer where it is set so."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    now = int(conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def quiet_threads() -> None:
     """One thread for each library in a Python worker: the executor's cores are Spark's to deal out."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import slices, table
+from heddle.llm.common import in_batches, slices, table
 
 #: Labelled pages the weights are fitted on, at most: those with the smallest hashes.
 TRAINING_PAGES = 1000
@@ -236,7 +236,7 @@ def fit_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
     their pages and then broadcast, ``most`` rows; executors count, the driver gets one row per tag and one per different set
     of features."""
     ids = pages.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    some = pages.select(F.col(f"`{html_col}`").alias("html"), F.col(f"`{id_col}`").alias("id")).join(F.broadcast(ids), "id", "left_semi")
+    some = in_batches(pages).select(F.col(f"`{html_col}`").alias("html"), F.col(f"`{id_col}`").alias("id")).join(F.broadcast(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -263,7 +263,7 @@ def extract(pages: DataFrame, weights: dict[str, float], html_col: str = "html")
             text = pa.array([main_text(h.as_py(), weights) for h in batch.column(batch.num_columns - 1)], type=pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*names, "text"])
 
-    return pages.select(*cols, F.col(f"`{html_col}`")).mapInArrow(run, schema)
+    return in_batches(pages).select(*cols, F.col(f"`{html_col}`")).mapInArrow(run, schema)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

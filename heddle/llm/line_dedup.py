@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap_filter, filter_bits, passing, slices, table, without_spans, written
+from heddle.llm.common import bitmap_filter, filter_bits, in_batches, passing, slices, table, without_spans, written
 
 #: Lines with words that a removed passage needs.
 MIN_LINES = 2
@@ -64,7 +64,7 @@ def windows(df: DataFrame, id_col: str, text_col: str, min_lines: int, texts: bo
                 yield batch_of(rows)
 
     t = F.col(f"`{text_col}`")
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("hash"), t.alias("text")).mapInArrow(run, schema)
+    return in_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("hash"), t.alias("text")).mapInArrow(run, schema)
 
 
 def rank() -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import slices, table, words, written
+from heddle.llm.common import in_batches, slices, table, words, written
 
 #: Weights of the sources in their order, repeating; share of all words to take; most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -126,7 +126,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
     sources' sizes: a source with a third of all rows is spread over as many tasks as any other rows.
     """
     size = F.size(words(F.col(f"`{text_col}`"))).cast("long")
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []))
+    docs = in_batches(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sizes = written(sizes, "sources")
     n = sizes.agg(F.sum("rows")).first()[0] or 0

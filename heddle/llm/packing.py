@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import quiet_threads, slices, table
+from heddle.llm.common import in_batches, quiet_threads, slices, table
 
 #: Capacity of a sequence: tokens, segments, loss-bearing tokens.
 LIMITS = (1024, 256, 1024)
@@ -38,7 +38,7 @@ CONVERSATION_LIMITS = (1024, 8, 512)
 #: A window is packed when it holds so many examples or so many bytes of ids.
 WINDOW_ROWS, WINDOW_BYTES = 4096, 32 << 20
 #: Words whose ids a tokenizing worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -266,7 +266,7 @@ def pack_documents(df: DataFrame, tokenizer: str, limits: tuple[int, int, int] =
         if out:
             yield rows()
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, PIECES)
+    return in_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, PIECES)
 
 
 def pack_examples(df: DataFrame, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
@@ -331,7 +331,7 @@ def conversation_examples(df: DataFrame, tokenizer: str) -> DataFrame:
             loss = [k if r.as_py() == "assistant" else 0 for k, r in zip(n, batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["example_id", "tokens", "loss_tokens"])
 
-    turns = df.select(F.col("conv_id").cast("long").alias("example_id"), "role", "text").mapInArrow(run, "example_id long, tokens long, loss_tokens long")
+    turns = in_batches(df).select(F.col("conv_id").cast("long").alias("example_id"), "role", "text").mapInArrow(run, "example_id long, tokens long, loss_tokens long")
     return turns.groupBy("example_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
 
 

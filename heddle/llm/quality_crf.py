@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import slices, table
+from heddle.llm.common import in_batches, slices, table
 
 #: Labelled documents to train on, at most: those with the smallest hashes of their ids, as far as their lines add up to
 #: TRAINING_LINES, 14 numbers each. A document is taken with all its lines or not at all.
@@ -201,7 +201,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     ids = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
     text = F.col(f"`{text_col}`")
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text")).join(F.broadcast(ids), "id")
+    docs = in_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text")).join(F.broadcast(ids), "id")
     docs = docs.groupBy("id", "label").agg(F.min_by("text", "hash").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def classify(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, id_col:
             s = scores(texts, *model) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`"))
+    rows = in_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`"))
     return rows.mapInArrow(run, "id long, held_out boolean, score double, predicted int")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import discard, table, written
+from heddle.llm.common import discard, in_batches, table, written
 
 RADIUS = 3
 #: Fingerprints of a node above which it is factored again, and times a node is factored at most.
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["id", "fp"])
 
-    ids = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`"))
+    ids = in_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`"))
     return ids.mapInArrow(run, "id long, fp long")
 
 

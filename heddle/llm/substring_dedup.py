@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap_filter, passing, table, without_spans, written
+from heddle.llm.common import bitmap_filter, in_batches, passing, table, without_spans, written
 
 #: Words above which a sentence is cut again, mean words of such a piece, and words a removed run needs.
 LONG, PIECE, MIN_WORDS = 32, 12, 20
@@ -83,7 +83,7 @@ def unit_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield batch_of(cols, digests)
 
     t = F.col(f"`{text_col}`")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("hash"), t.alias("text"))
+    rows = in_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("hash"), t.alias("text"))
     return rows.mapInArrow(run, "id long, hash long, no int, start int, end int, words int, d1 long, d2 long")
 
 
