@@ -60,8 +60,8 @@ def _graph(spark, d):
 
 
 def _grouped(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 13 = 0")
-    edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("m"), F.date_format("o_orderdate", "yyyyMM")).alias("target"), F.lit(1.0).alias("weight"))
+    c = table(spark, d, "customer")
+    edges = c.select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("n"), "c_nationkey").alias("target"), F.lit(1.0).alias("weight"))
     ids = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
     elements = ids.select("id", F.when(F.col("id").endswith("7"), "Lucky").alias("framework"), F.lit(0.8).alias("score"))
     return X.grouped(elements, edges)

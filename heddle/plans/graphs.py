@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from heddle.operators import graph as G
 from heddle.plans.base import Plan, table
+from heddle.session import shared_dir
 from heddle.streaming import streams
 
 
@@ -34,9 +35,12 @@ def _induced(spark, d):
 
 
 def _sparse(spark, d):
-    """Customers and the suppliers of a nation, tied through a sparse rule so that there are many components."""
-    o = table(spark, d, "orders").where("o_orderkey % 11 = 0")
-    return o.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd")).alias("target"), F.lit(1.0).alias("weight"))
+    """All customers, suppliers and nations, tied to where they belong: a component for each region."""
+    def ties(name, key, to, own, other):
+        return table(spark, d, name).select(F.concat(F.lit(own), key).alias("source"), F.concat(F.lit(other), to).alias("target"), F.lit(1.0).alias("weight"))
+
+    customers, suppliers = ties("customer", "c_custkey", "c_nationkey", "c", "n"), ties("supplier", "s_suppkey", "s_nationkey", "s", "n")
+    return customers.unionByName(suppliers).unionByName(ties("nation", "n_nationkey", "n_regionkey", "n", "r"))
 
 
 def _weak(spark, d):
@@ -44,7 +48,8 @@ def _weak(spark, d):
 
 
 WEAK_SQL = """
-WITH RECURSIVE e AS (SELECT 'c' || o_custkey AS s, 'd' || strftime(o_orderdate, '%Y%m%d') AS t FROM orders WHERE o_orderkey % 11 = 0),
+WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS s, 'n' || c_nationkey AS t FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 b AS (SELECT DISTINCT s AS a, t AS b FROM e UNION SELECT DISTINCT t, s FROM e),
 r(id, reach) AS (SELECT DISTINCT a, a FROM b UNION SELECT r.id, b.b FROM r JOIN b ON r.reach = b.a)
 SELECT id, min(reach) AS component FROM r GROUP BY id
@@ -64,12 +69,12 @@ def _groups(spark, d):
 
 
 def _proximity(spark, d):
-    p = table(spark, d, "pages").where("page_id < 400").select("page_id", F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("path"))
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("path"))
     return G.directory_edges(p.withColumn("path", F.concat("path", F.lit("/"), "page_id")), "page_id", "path", "page_id")
 
 
 PROXIMITY_SQL = r"""
-WITH p AS (SELECT page_id AS name, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS dir FROM pages WHERE page_id < 400),
+WITH p AS (SELECT page_id AS name, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS dir FROM pages),
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY name) AS rn FROM p) WHERE rn <= 20),
 x AS (SELECT dir, list_filter(string_split(dir, '/'), lambda y: y <> '') AS parts FROM (SELECT DISTINCT dir FROM own)),
 u AS (SELECT dir, parts, unnest(range(0, least(2, len(parts)) + 1)) AS up FROM x),
@@ -122,12 +127,11 @@ def _upsert(spark, d):
 
 
 def _shared(spark, d):
-    return G.shared_values(table(spark, d, "supplier").where("s_suppkey < 60"), "s_suppkey", "s_nationkey")
+    return G.shared_values(table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
 
 
 def _workspace(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/heddle"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream_map(spark, d):
@@ -147,7 +151,7 @@ PLANS = {
         AND target IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1, 2"""),
     "weak_components": Plan(_weak, WEAK_SQL),
     "graph_summary": Plan(_summary, f"""
-        WITH w AS ({WEAK_SQL}), m AS (SELECT count(*) AS edges FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders WHERE o_orderkey % 11 = 0)),
+        WITH w AS ({WEAK_SQL}), m AS (SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) AS edges),
         n AS (SELECT count(*) AS nodes, count(DISTINCT component) AS components FROM w)
         SELECT nodes, edges, edges / (nodes * (nodes - 1)) AS density, components FROM n, m"""),
     "communities": Plan(_communities),
@@ -164,6 +168,6 @@ PLANS = {
         SELECT n_nationkey AS id, CASE WHEN n_nationkey > 10 THEN lower(n_name) ELSE n_name END AS name, CASE WHEN n_nationkey < 20 THEN 'yes' END AS kept FROM nation"""),
     "shared_values": Plan(_shared, """
         SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
-        WHERE a.s_suppkey < 60 AND b.s_suppkey < 60"""),
+"""),
     "stream_map": Plan(_stream_map, "SELECT event_id, event_type || '|risk-evaluated' AS event_type FROM events"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,10 +16,22 @@ def session(app: str = "heddle", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else what ``setCheckpointDir`` named. On one machine a
+    temporary folder stands in; on a cluster without either setting there is no such folder, an error."""
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="heddle-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the folder that executors share: ``spark.checkpoint.dir``, or a
-    local one where that is unset."""
+    """``df`` with its lineage cut by a checkpoint in the folder that executors share."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/heddle")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

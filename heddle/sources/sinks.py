@@ -65,14 +65,25 @@ def write_lake(df: DataFrame, path: str, cursor: str, layout: str = "NO PARTITIO
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    """Replace a table: written beside it first, then moved over it, so a failed write leaves the old one."""
+    """Replace a table: written beside it, then the old one is moved aside, the new one into its place, and the old one
+    deleted last. At no moment is neither there: a table that a crash left aside is moved back first."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "_tmp")
-    df.write.mode("overwrite").parquet(temp.toString())
+    base = path.rstrip("/")
+    target, temp, aside = (jvm.org.apache.hadoop.fs.Path(base + end) for end in ("", "_tmp", "_old"))
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    if not fs.rename(temp, target):
-        raise OSError(f"cannot move {temp} to {target}")
+
+    def move(a, b) -> None:
+        if not fs.rename(a, b):
+            raise OSError(f"cannot move {a} to {b}")
+
+    if fs.exists(aside) and not fs.exists(target):
+        move(aside, target)
+    df.write.mode("overwrite").parquet(temp.toString())
+    fs.delete(aside, True)
+    if fs.exists(target):
+        move(target, aside)
+    move(temp, target)
+    fs.delete(aside, True)
 
 
 def file_name(pattern: str, now: datetime, sync_id: int = 0, part: int = 0, extension: str = "") -> str:
