@@ -123,3 +123,13 @@ def preview(df: DataFrame, most: int) -> DataFrame:
     """The first rows with whether there are more."""
     more = df.agg((F.count(F.lit(1)) > most).alias("truncated"))
     return df.limit(most).join(F.broadcast(more))
+
+
+def event_timings(df: DataFrame, name: str, start: str, end: str, order: str = "name") -> DataFrame:
+    """(name, duration in microseconds) of timed events: by name, or the longest first. An event that has not ended has no
+    duration and comes last."""
+    if order not in ("name", "duration"):
+        raise ValueError("order is name or duration")
+    duration = F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
+    out = df.select(F.col(name).alias("name"), duration.alias("duration"))
+    return out.orderBy("name", "duration") if order == "name" else out.orderBy(F.col("duration").desc_nulls_last(), "name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,3 +116,23 @@ def richest(df: DataFrame, by: Sequence[str], score: Column, place: str) -> Data
     """The row with the highest score of each group; the one seen first on ties."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(score.desc(), F.col(place)))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+@dataclass(frozen=True)
+class Detector:
+    """What to look for: whether it applies to a row, and what it finds there, an array of texts."""
+
+    name: str
+    applies: Column
+    found: Column
+
+
+def detected(df: DataFrame, keep: Sequence[str], detectors: Sequence[Detector]) -> DataFrame:
+    """(keep..., detector, found) for all that the detectors find, in one pass; null arrays find nothing."""
+
+    def hits(d: Detector) -> Column:
+        return F.when(d.applies, F.transform(d.found, lambda x: F.struct(F.lit(d.name).alias("detector"), x.alias("found"))))
+
+    none = F.array().cast("array<struct<detector:string,found:string>>")
+    every = F.concat(*[F.coalesce(hits(d), none) for d in detectors])
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.explode(every).alias("_hit")).select(*[F.col(f"`{k}`") for k in keep], "_hit.*")

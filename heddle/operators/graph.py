@@ -257,3 +257,28 @@ def shared_values(df: DataFrame, owner: str, value: str) -> DataFrame:
     """Pairs of owners, in order, that share a value."""
     a = df.select(F.col(owner).alias("a"), F.col(value).alias("v")).distinct()
     return a.join(a.select(F.col("a").alias("b"), "v"), "v").where("a < b").select("a", "b", F.col("v").alias(value))
+
+
+def _whole(df: DataFrame, name: str) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def matched(nodes: DataFrame, edges: DataFrame, a: Column | None = None, r: Column | None = None, b: Column | None = None) -> DataFrame:
+    """The pattern (a)-[r]->(b) as rows of three structs; each condition speaks of the columns of nodes or of edges and is
+    pushed to their scan."""
+
+    def some(df: DataFrame, condition: Column | None, name: str) -> DataFrame:
+        return (df if condition is None else df.where(condition)).select(_whole(df, name))
+
+    out = some(edges, r, "r").join(some(nodes, a, "a"), F.col("r.source") == F.col("a.id"))
+    return out.join(some(nodes, b, "b"), F.col("r.target") == F.col("b.id")).select("a", "r", "b")
+
+
+def rolled_back(nodes: DataFrame, edges: DataFrame, run: str, value) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without those of a run or task; edges at a node that goes, go with it. Null is no run."""
+    mine = F.col(run).eqNullSafe(F.lit(value))
+    gone = nodes.where(mine).select("id").distinct()
+    left = edges.where(~mine)
+    for end in ("source", "target"):
+        left = left.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    return nodes.where(~mine), left.select(*edges.columns)

@@ -114,11 +114,12 @@ def type_and_dedupe(final: DataFrame, raw: DataFrame, key: Sequence[str], order:
     return latest(final.unionByName(raw, allowMissingColumns=True), key, order)
 
 
-def cdc_envelope(df: DataFrame, before: str, after: str, op: str, ts: str) -> DataFrame:
-    """Change events as rows: the row after the change, or before it for a delete, with its update and delete times."""
-    row = F.coalesce(F.col(after), F.col(before))
-    at = F.col(ts)
-    return df.select(row.alias("row"), at.alias("_ab_cdc_updated_at"), F.when(F.col(op) == "d", at).alias("_ab_cdc_deleted_at"))
+def cdc_envelope(df: DataFrame, before: str, after: str, op: str, ts: str, position: str | None = None, names: Sequence[str] = ("updated_at", "deleted_at", "log_position")) -> DataFrame:
+    """Change events as rows: the row after the change, or before it for a delete, with its update and delete times and,
+    where there is one, its position in the log. ``names`` are those of the added columns."""
+    row, at = F.coalesce(F.col(after), F.col(before)), F.col(ts)
+    log = [F.col(position).alias(names[2])] if position else []
+    return df.select(row.alias("row"), at.alias(names[0]), F.when(F.col(op) == "d", at).alias(names[1]), *log)
 
 
 def soft_reset(raw: DataFrame, loaded_at: str) -> DataFrame:

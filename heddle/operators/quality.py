@@ -51,3 +51,11 @@ def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def nulls(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNull())
+
+
+def present_tables(wanted: DataFrame, column: str, database: str | None = None) -> DataFrame:
+    """``wanted`` with whether the catalogue has a table or view of that name; names are compared in lower case."""
+    shown = wanted.sparkSession.sql("SHOW TABLES" + (f" IN `{database}`" if database else ""))
+    there = shown.select(F.lower("tableName").alias("_name")).distinct()
+    found = wanted.withColumn("_key", F.lower(F.col(column))).join(there, F.col("_key") == F.col("_name"), "left")
+    return found.withColumn("present", F.col("_name").isNotNull()).drop("_key", "_name")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +67,34 @@ def within_cursor(df: DataFrame, cursor: str, start, end, state=None) -> DataFra
     return df.where((F.col(cursor) > low) & (F.col(cursor) < F.lit(end)))
 
 
+# --- steps of one's own -----------------------------------------------------------------------------------------------
+
+#: A step makes a frame of a frame: a transformation of records, or an extractor of records from responses.
+Step = Callable[..., DataFrame]
+_STEPS: dict[str, Step] = {}
+
+
+def step(name: str) -> Callable[[Step], Step]:
+    """Register a function (frame, options...) -> frame under a name that pipelines may use."""
+
+    def register(do: Step) -> Step:
+        if _STEPS.setdefault(name, do) is not do:
+            raise ValueError(f"there is a step {name} already")
+        return do
+
+    return register
+
+
+def applied(df: DataFrame, steps: Sequence[dict]) -> DataFrame:
+    """``df`` after steps in order, each a dict of its ``type`` and options."""
+    for one in steps:
+        options = {k: v for k, v in one.items() if k != "type"}
+        if one["type"] not in _STEPS:
+            raise ValueError(f"no step {one['type']}: {sorted(_STEPS)}")
+        df = df.transform(_STEPS[one["type"]], **options)
+    return df
+
+
 # --- templates ------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>'[^']*'|\"[^\"]*\")|(?P<op>==|!=|<=|>=|<|>|\||\(|\)|\+|-|\*|/|,|\[|\])|(?P<name>[A-Za-z_][\w.]*))")

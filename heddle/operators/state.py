@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.session import cut
+
 
 def merged_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, gap: Column | None = None) -> DataFrame:
     """Intervals of each group merged where one starts at or before the end of those before it, plus ``gap``."""
@@ -27,9 +29,22 @@ def running_cursor(df: DataFrame, by: Sequence[str], order: Sequence[str], curso
 
 
 def checkpoints(df: DataFrame, by: Sequence[str], order: Sequence[str], every: int) -> DataFrame:
-    """``df`` with its place and the number of its checkpoint: a new one after ``every`` rows."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("place", place.cast("long")).withColumn("checkpoint", F.floor((F.col("place") - 1) / every).cast("long"))
+    """``df`` with its place in its group and the number of its checkpoint: a new one after ``every`` rows.
+
+    A group may hold most rows, so it is dealt out by ranges of the order; places come from the counts of the ranges before,
+    one row for each group and range. ``order`` has to be unique within a group.
+    """
+    names = [*by, *order]
+    # The ranges are drawn from a sample: a checkpoint keeps the counts and the rows of one and the same draw.
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut(df.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_p", F.spark_partition_id()).withColumn("_i", low))
+    group = F.struct(*[F.col(c) for c in by])
+    counts = ranged.groupBy("_p", group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    earlier = F.sum("_n").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_p", "_g", (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    placed = ranged.withColumn("_g", group).alias("r").join(starts.alias("s"), (F.col("r._p") == F.col("s._p")) & F.col("r._g").eqNullSafe(F.col("s._g")))
+    place = (F.col("_i") + F.col("_shift")).cast("long")
+    return placed.select(*[F.col(f"r.`{c}`") for c in df.columns], place.alias("place"), F.floor((place - 1) / every).cast("long").alias("checkpoint"))
 
 
 def rate(df: DataFrame, by: Sequence[str], seconds_column: str, window: int = 3600, name: str = "in_window") -> DataFrame:

@@ -205,7 +205,23 @@ def _pages(spark, d):
     return tables.page_numbers(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 1000)
 
 
+def _timings(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return A.event_timings(e, "user_id", "first", "last", "duration")
+
+
+def _detected(spark, d):
+    e = table(spark, d, "events")
+    clicks = C.Detector("clicks", F.col("event_type") == "click", F.array(F.get_json_object("props", "$.k")))
+    large = C.Detector("large", F.col("value") > 50, F.array(F.col("event_type"), F.lit("value")))
+    return C.detected(e, ["event_id"], [clicks, large])
+
+
 PLANS = {
+    "event_timings": Plan(_timings, "SELECT user_id AS name, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration FROM events GROUP BY user_id"),
+    "detector_findings": Plan(_detected, """
+        SELECT event_id, 'clicks' AS detector, json_extract_string(props, '$.k') AS found FROM events WHERE event_type = 'click'
+        UNION ALL SELECT event_id, 'large', unnest([event_type, 'value']) FROM events WHERE value > 50"""),
     "events_top_types": Plan(_top_types, "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 100"),
     "events_top_users": Plan(_top_users, "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 50"),
     "contributors_dedup": Plan(_contributors, """

@@ -144,7 +144,34 @@ def _stream_map(spark, d):
     return spark.read.schema("event_id long, event_type string").parquet(f"{at}/out")
 
 
+def _people(spark, d):
+    """Nations and customers, each with the run that wrote it, and who belongs where."""
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("run"))
+    c = table(spark, d, "customer")
+    nodes = n.unionByName(c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.col("c_nationkey").cast("long").alias("run")))
+    return nodes, c.select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("n"), "c_nationkey").alias("target"), F.col("c_custkey").alias("run"))
+
+
+def _matched(spark, d):
+    nodes, edges = _people(spark, d)
+    out = G.matched(nodes, edges, a=F.col("name") == "FURNITURE", b=F.col("run") == 1)
+    return out.select(F.col("a.id").alias("customer"), F.col("b.name").alias("nation"))
+
+
+def _rolled_back(spark, d):
+    nodes, edges = G.rolled_back(*_people(spark, d), "run", 2)
+    return nodes.select(F.lit("node").alias("kind"), "id").unionByName(edges.select(F.lit("edge").alias("kind"), F.concat_ws(">", "source", "target").alias("id")))
+
+
 PLANS = {
+    "graph_pattern": Plan(_matched, """
+        SELECT 'c' || c_custkey AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey
+        WHERE c_mktsegment = 'FURNITURE' AND n_regionkey = 1"""),
+    "run_rollback": Plan(_rolled_back, """
+        SELECT 'node' AS kind, 'n' || n_nationkey AS id FROM nation WHERE n_regionkey <> 2
+        UNION ALL SELECT 'node', 'c' || c_custkey FROM customer WHERE c_nationkey <> 2
+        UNION ALL SELECT 'edge', 'c' || c_custkey || '>n' || c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+        WHERE c_custkey <> 2 AND c_nationkey <> 2 AND n_regionkey <> 2"""),
     "co_purchase_edges": Plan(_edges, f"SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM ({PAIRS_SQL}) GROUP BY 1, 2"),
     "induced_subgraph": Plan(_induced, f"""
         SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM ({PAIRS_SQL}) WHERE source IN (SELECT p_partkey FROM part WHERE p_size < 10)

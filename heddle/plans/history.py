@@ -13,7 +13,7 @@ from heddle.operators import records as R
 from heddle.plans.base import Plan, table
 
 ORDERS = H.StreamConfig(key=("o_custkey",), cursor="o_orderdate", emitted="o_orderdate", tie=("o_orderkey",))
-CHANGES = H.StreamConfig(key=("user_id",), cursor="ts", emitted="ts", tie=("event_id",), deleted="_ab_cdc_deleted_at")
+CHANGES = H.StreamConfig(key=("user_id",), cursor="ts", emitted="ts", tie=("event_id",), deleted="deleted_at")
 
 SCD2_SQL = """
 SELECT o_orderkey, o_custkey, md5(coalesce(CAST(o_custkey AS VARCHAR), '')) AS unique_key, o_orderdate AS start_at,
@@ -37,7 +37,7 @@ def _active(spark, d):
 
 def _changes(spark, d):
     e = table(spark, d, "events")
-    return e.withColumn("_ab_cdc_deleted_at", F.when(F.col("event_type") == "error", F.col("ts")))
+    return e.withColumn("deleted_at", F.when(F.col("event_type") == "error", F.col("ts")))
 
 
 def _cdc(spark, d):
@@ -45,7 +45,7 @@ def _cdc(spark, d):
 
 
 def _cdc_dedup(spark, d):
-    h = H.deduplicated(H.scd2(_changes(spark, d), CHANGES), CHANGES, also=("_ab_cdc_deleted_at",))
+    h = H.deduplicated(H.scd2(_changes(spark, d), CHANGES), CHANGES, also=("deleted_at",))
     return h.groupBy("user_id").agg(F.count(F.lit(1)).alias("versions"), F.sum("active_row").alias("active"))
 
 
@@ -53,8 +53,8 @@ def _envelope(spark, d):
     e = table(spark, d, "events")
     row = F.struct("event_id", "user_id")
     delete = F.col("event_type") == "error"
-    e = e.select(F.when(delete, row).alias("before"), F.when(~delete, row).alias("after"), F.when(delete, "d").otherwise("u").alias("op"), "ts")
-    return H.cdc_envelope(e, "before", "after", "op", "ts").select("row.event_id", "row.user_id", "_ab_cdc_updated_at", "_ab_cdc_deleted_at")
+    e = e.select(F.when(delete, row).alias("before"), F.when(~delete, row).alias("after"), F.when(delete, "d").otherwise("u").alias("op"), "ts", "event_id")
+    return H.cdc_envelope(e, "before", "after", "op", "ts", "event_id").select("row.event_id", "row.user_id", "updated_at", "deleted_at", "log_position")
 
 
 def _incremental(spark, d):
@@ -204,7 +204,7 @@ PLANS = {
                           CASE WHEN event_type = 'error' THEN ts END AS del FROM events),
         k AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts, del ORDER BY a DESC, event_id) AS r FROM h)
         SELECT user_id, count(*) AS versions, CAST(sum(a) AS BIGINT) AS active FROM k WHERE r = 1 GROUP BY user_id"""),
-    "cdc_envelope": Plan(_envelope, "SELECT event_id, user_id, ts AS _ab_cdc_updated_at, CASE WHEN event_type = 'error' THEN ts END AS _ab_cdc_deleted_at FROM events"),
+    "cdc_envelope": Plan(_envelope, "SELECT event_id, user_id, ts AS updated_at, CASE WHEN event_type = 'error' THEN ts END AS deleted_at, event_id AS log_position FROM events"),
     "incremental_new_rows": Plan(_incremental, """
         SELECT o_orderkey, o_orderdate FROM orders WHERE coalesce(o_orderdate > (
           SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate < TIMESTAMP '2000-01-01'), true)"""),

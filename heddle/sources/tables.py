@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from heddle.session import cut
 
@@ -69,25 +69,47 @@ class _Slice(InputPartition):
         self.value = value
 
 
-def paged_source(name: str, schema: str, fetch: Callable[[object, int, int], list[tuple]], slices: Sequence = (None,), size: int = 100, stop: Callable[[tuple], bool] | None = None) -> type[DataSource]:
-    """A Python data source that reads pages: ``fetch(slice, offset, size)`` gives the rows of one, a short page is the
-    last, and so is one with a row for which ``stop`` holds; that row and those after it are left out."""
+#: Position after a page at a position, None if that page is the last.
+Advance = Callable[[object, list[tuple]], object]
+
+
+def by_offset(size: int) -> Advance:
+    """Positions count rows; a short page is the last."""
+    return lambda at, page: at + len(page) if len(page) >= size else None
+
+
+def by_page(size: int) -> Advance:
+    """Positions count pages; a short page is the last."""
+    return lambda at, page: at + 1 if len(page) >= size else None
+
+
+def by_token(token: Callable[[list[tuple]], object], last: Callable[[list[tuple]], bool] | None = None) -> Advance:
+    """Positions are tokens read from the page before; a page without one, an empty one and one that ``last`` tells are the
+    last."""
+    return lambda at, page: None if not page or (last and last(page)) else (token(page) or None)
+
+
+def paged_source(name: str, schema: str, fetch: Callable[[object, int, int], list[tuple]], slices: Sequence = (None,), size: int = 100, stop: Callable[[tuple], bool] | None = None, advance: Advance | None = None, begin=0) -> type[DataSource]:
+    """A Python data source that reads pages: ``fetch(slice, position, size)`` gives the rows of one. ``advance`` tells the
+    position after a page, None after the last; it is one of ``by_offset``, ``by_page`` and ``by_token``. A page with a row
+    for which ``stop`` holds is the last; that row and those after it are left out."""
+    advance = advance or by_offset(size)
 
     class Reader(DataSourceReader):
         def partitions(self) -> list[InputPartition]:
             return [_Slice(s) for s in slices]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            offset = 0
+            at = begin
             while True:
-                page = fetch(partition.value, offset, size)
+                page = fetch(partition.value, at, size)
                 for row in page:
                     if stop and stop(row):
                         return
                     yield tuple(row)
-                if len(page) < size:
+                at = advance(at, page)
+                if at is None:
                     return
-                offset += len(page)
 
     class Source(DataSource):
         @classmethod
@@ -112,6 +134,42 @@ def page_numbers(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     return ranged.join(F.broadcast(before), "_p").withColumn("page", F.floor((F.col("_i") + F.col("_before")) / size).cast("long")).drop("_p", "_i", "_before")
 
 
+class _PageRange(InputPartition):
+    def __init__(self, page: int) -> None:
+        self.page = page
+
+
+def paged_stream(name: str, schema: str, fetch: Callable[[int], list[tuple]], pages: Callable[[], int]) -> type[DataSource]:
+    """A stream of pages, the state of which is the number of the next one: a load that ended goes on from the checkpoint.
+    ``pages()`` tells how many there are by now; pages are fetched on executors, each by a task of its own."""
+
+    class Reader(DataSourceStreamReader):
+        def initialOffset(self) -> dict:
+            return {"page": 0}
+
+        def latestOffset(self) -> dict:
+            return {"page": pages()}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            return [_PageRange(i) for i in range(start["page"], end["page"])]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            yield from map(tuple, fetch(partition.page))
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def streamReader(self, schema) -> DataSourceStreamReader:
+            return Reader()
+
+    return Source
+
+
 # --- generators -----------------------------------------------------------------------------------------------------
 
 
