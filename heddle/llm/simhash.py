@@ -136,18 +136,21 @@ class GrayIndex:
             if len(self.levels) < len(levels):
                 above = np.repeat(mask, np.diff(np.append(start, len(levels[-len(self.levels) - 1][1]))))
 
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places (i > j) of all codes of one node that differ in ``radius`` bits or fewer.
+    def links(self, radius: int, asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of all pairs of codes of one node that differ in ``radius`` bits or fewer, each pair once; with ``asks``,
+        only pairs of which one code asks.
 
         A code goes down its node's hierarchy; differences add up, and a group is left with all below it when they exceed
         the radius. Codes go in blocks, so what is held at once is bounded however large a node is.
         """
-        work = np.cumsum(self.size[self.owner])
+        asks = np.ones(len(self.codes), dtype=bool) if asks is None else asks
+        asking = np.flatnonzero(asks)
+        work = np.cumsum(self.size[self.owner[asking]])
         begin = 0
-        while begin < len(self.codes):
+        while begin < len(asking):
             done = work[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(work, done + BLOCK, side="right")))
-            query = np.arange(begin, end)
+            query = asking[begin:end]
             own = self.owner[query]
             count = self.top[1][own]
             who, group = np.repeat(query, count), _spread(self.top[0][own], count)
@@ -160,7 +163,7 @@ class GrayIndex:
                 total = len(self.codes) if last else len(self.levels[depth + 1][0])
                 count = np.append(start, total)[group + 1] - start[group]
                 who, gone, group = np.repeat(who, count), np.repeat(gone, count), _spread(start[group], count)
-            near = (group < who) & (np.bitwise_count(self.codes[who] ^ self.codes[group]) <= radius)
+            near = ((group < who) | ~asks[group]) & (np.bitwise_count(self.codes[who] ^ self.codes[group]) <= radius)
             yield who[near], group[near]
             begin = end
 
