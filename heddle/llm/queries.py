@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heddle.llm.conversation_repair import op12_conversation_repair
 from heddle.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from heddle.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from heddle.llm.html_extract import op6_html_extract
 from heddle.llm.line_dedup import op3_line_dedup
 from heddle.llm.mixing import op8_mixing
@@ -28,10 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_repair": op12_conversation_repair,
     "pack_conversations": pack_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
