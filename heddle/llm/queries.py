@@ -18,6 +18,7 @@ from heddle.llm.quality_rules import OP10_SQL, op10_quality_rules
 from heddle.llm.secrets import op5_secrets
 from heddle.llm.simhash import op1_simhash
 from heddle.llm.substring_dedup import op9_substring_dedup
+from heddle.llm.vector_search import OP13_SQL, op13_vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_search": op13_vector_search,
     "pack_conversations": pack_conversations,
 }
 
@@ -39,4 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op10_quality_rules": OP10_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op13_vector_search": OP13_SQL,
 }
