@@ -9,10 +9,12 @@ its summed-up groups and accumulated differences, up to RADIUS bits. Counts of s
 bound the similarity of a pair from above; only pairs that they allow leave a node, and those are compared by their texts.
 
 Texts of equal shingle sets fold into one code first. Candidates are verified in rounds: neighbours in Gray order of a few
-pools, then in every node the nearest codes that are not connected yet, asked for by the smaller group, and four times as
-many in each round after. The rounds end with the first that finds no link. Codes that a link joined are not compared any
-more, so of a dense group of thousands of texts none is compared with all others. A group of more than NODE_ROWS codes is
-dealt out over several tasks.
+pools, then in every node the nearest codes that are not connected yet, asked for by the smaller group. A node in which a
+code had more candidates than a round takes stays open; only open nodes are searched again, with four times as many for
+each code, until none is open: no candidate is left out, whatever else the corpus holds. Codes that a link joined are not
+compared any more, so of a dense group of thousands of texts none is compared with all others. A group of more than
+NODE_ROWS codes is dealt out over several tasks. All rows of nodes are shuffled once; what is open is a table of its own
+that shrinks from round to round, and texts are read once for each of the first two rounds and once for all others.
 
 The candidate search is a probabilistic one: its recall against brute force is measured in the tests and the README.
 
@@ -200,13 +202,16 @@ def _neighbours(similarity: Fraction):
 
 def _across(similarity: Fraction, most: int):
     """Arrow function over (key, part, n, code, root, size, fp, counts) sorted by node and Gray rank: for each code, the
-    ``most`` nearest ones of other roots that may be similar, no smaller root first asked by a larger one."""
+    ``most`` nearest ones of other roots that may be similar, no smaller root first asked by a larger one. Besides, as rows
+    without a pair, the nodes in which a code has more."""
 
-    def nearest(seek: np.ndarray, find: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest(left: np.ndarray, seek: np.ndarray, find: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that stay; marks in ``left`` the codes that lose some."""
         order = np.lexsort((find, bits, seek))
         seek, find, bits = seek[order], find[order], bits[order]
         first = np.flatnonzero(np.append(True, seek[1:] != seek[:-1])) if len(seek) else np.empty(0, dtype=np.int64)
         place = np.arange(len(seek)) - np.repeat(first, np.diff(np.append(first, len(seek))))
+        left[seek[place >= most]] = True
         return seek[place < most], find[place < most], bits[place < most]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +226,8 @@ def _across(similarity: Fraction, most: int):
                 continue
             first = np.cumsum(rows[~same]) - rows[~same]
             n, code, root, size, fp = n[keep], code[keep], root[keep], size[keep], fp[keep]
-            counts = _counts(whole.column("counts").filter(pa.array(keep)))
+            counts, key = _counts(whole.column("counts").filter(pa.array(keep))), whole.column("key").to_numpy()[keep]
+            left = np.zeros(len(code), dtype=bool)
             held = (np.empty(0, dtype=np.int64),) * 3
             for x, y in GrayIndex(fp, first).links(RADIUS, ~_most_of(root, first)):
                 fit = root[x] != root[y]
@@ -233,14 +239,22 @@ def _across(similarity: Fraction, most: int):
                 x, y = np.where(asks, x, y), np.where(asks, y, x)
                 held = tuple(np.concatenate(p) for p in zip(held, (x, y, np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)), strict=True))
                 if len(held[0]) > PAIRS_HELD:
-                    held = nearest(*held)
-            x, y, _ = nearest(*held)
+                    held = nearest(left, *held)
+            x, y, _ = nearest(left, *held)
             if len(x):
-                yield _pairs(code, x, y)
+                yield _found(*_pairs(code, x, y).columns, None)
+            if left.any():
+                yield _found(None, None, pa.array(np.unique(key[left])))
 
     return run
 
 
+def _found(a: pa.Array | None, b: pa.Array | None, open_: pa.Array | None) -> pa.RecordBatch:
+    """Pairs, or nodes that are open."""
+    rows = len(a if a is not None else open_)
+    return pa.RecordBatch.from_arrays([x if x is not None else pa.nulls(rows, pa.int64()) for x in (a, b, open_)], names=["a", "b", "open"])
+
+
 def _most_of(root: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Whether a code is of the root that has most codes of its node; such codes have nothing to find among each other."""
     owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(root))))
@@ -252,29 +266,35 @@ def _most_of(root: np.ndarray, first: np.ndarray) -> np.ndarray:
     return root == r[start[last]][owner]
 
 
-def verified(pairs: DataFrame, rows: DataFrame, base: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) of codes whose texts are as similar as that; texts are shuffled only for codes in pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            ok = [similarity_of(shingles(x.as_py(), width), shingles(y.as_py(), width)) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct()
-    # One row, and so one text, for each code: of thousands of copies one is looked up.
+def texts_of(codes: DataFrame, rows: DataFrame, base: DataFrame) -> DataFrame:
+    """(code, text) of the distinct ``codes``: texts are shuffled only for them, one for each code, so of thousands of copies
+    one is looked up."""
     name = ["late", "key", "hash"]
-    own = base.join(ends, "code").groupBy("code").agg(F.min(F.struct(F.col("id").isNull().alias("late"), F.coalesce("id", F.lit(0)).alias("key"), "hash")).alias("n"))
+    own = base.join(codes, "code").groupBy("code").agg(F.min(F.struct(F.col("id").isNull().alias("late"), F.coalesce("id", F.lit(0)).alias("key"), "hash")).alias("n"))
     names = written(own.select("code", "n.*"), "names")
     bits = filter_bits(names.count())
     keyed = rows.select(F.col("id").isNull().alias("late"), F.coalesce("id", F.lit(0)).alias("key"), "hash", "text")
     texts = passing(keyed, bitmap_filter(names, name, bits), name, bits).dropDuplicates(name)
     texts = written(texts.join(names, name).select("code", "text"), "texts")
+    discard(names)
+    return texts
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) of codes whose texts are as similar as that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            ok = [similarity_of(shingles(x.as_py(), width), shingles(y.as_py(), width)) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
     left = pairs.join(texts.select(F.col("code").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(texts.select(F.col("code").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    links = written(both.mapInArrow(run, "a long, b long"), "links")
-    discard(names)
-    discard(texts)
-    return links
+    return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def _sorted(df: DataFrame, *key: str) -> DataFrame:
@@ -282,20 +302,20 @@ def _sorted(df: DataFrame, *key: str) -> DataFrame:
 
 
 def candidates(one: DataFrame, roots: DataFrame, similarity: Fraction, most: int) -> DataFrame:
-    """Distinct pairs (a, b) of codes of different roots that share a node, differ in RADIUS bits or fewer, and whose sizes
-    and counts allow the similarity: in each node the ``most`` nearest ones for each code.
+    """Pairs (a, b) of codes of different roots that share a node, differ in RADIUS bits or fewer, and whose sizes and counts
+    allow the similarity: in each node the ``most`` nearest ones for each code; and the nodes that stay open.
 
     A root with more than NODE_ROWS codes is in parts: its codes never meet each other, so a node of theirs is dealt out by
     code, and the node's other codes come to each part.
     """
-    find, kind = _across(similarity, most), "a long, b long"
+    find, kind = _across(similarity, most), "a long, b long, open long"
     named = one.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
     sizes = written(named.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     named = named.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     row = ["n", "code", "root", "size", "fp", "counts"]
     every = named.select(*row, F.explode("nodes").alias("key"))
     if sizes.where(F.col("size") > NODE_ROWS).isEmpty():
-        return _sorted(every.select("key", F.lit(0).alias("part"), *row), "key", "part").mapInArrow(find, kind).distinct()
+        return _sorted(every.select("key", F.lit(0).alias("part"), *row), "key", "part").mapInArrow(find, kind)
     parts = F.ceil(F.col("size") / NODE_ROWS).cast("int")
     small = every.where(F.col("size") <= NODE_ROWS).select("key", F.lit(0).cast("long").alias("part"), *row)
     dealt = every.where(F.col("size") > NODE_ROWS).select("key", F.col("root").alias("own"), parts.alias("parts"), *row)
@@ -307,7 +327,21 @@ def candidates(one: DataFrame, roots: DataFrame, similarity: Fraction, most: int
     # A part is named by the hash of its root and number.
     part = F.xxhash64("own", "slot").alias("part")
     both = small.unionByName(dealt.select("key", part, *row)).unionByName(others.select("key", part, *row))
-    return _sorted(both, "key", "part").mapInArrow(find, kind).distinct()
+    return _sorted(both, "key", "part").mapInArrow(find, kind)
+
+
+def still_open(one: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The rows of ``one`` with only those of their nodes that are open; None if none is."""
+    keys = written(found.where("open IS NOT NULL").select(F.col("open").alias("key")).distinct(), "open")
+    n = keys.count()
+    if not n:
+        return None
+    bits = filter_bits(n)
+    every = one.select("code", "n", "fp", "counts", F.explode("nodes").alias("key"))
+    some = passing(every, bitmap_filter(keys, ["key"], bits), ["key"], bits).join(keys, "key")
+    some = written(some.groupBy("code").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("counts").alias("counts"), F.collect_list("key").alias("nodes")), "codes")
+    discard(keys)
+    return some
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -320,17 +354,34 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     some = one.select("n", "code", "fp", "counts", F.explode(F.slice("nodes", 1, FIRST_TABLES)).alias("key"))
     rank = gray_rank(F.col("fp"))
     first = some.repartitionByRange("key", rank).sortWithinPartitions("key", rank, "code").select("key", "n", "code", "fp", "counts")
-    first = written(first.mapInArrow(_neighbours(similarity), "a long, b long").distinct(), "pairs")
-    tested, links, found = first, verified(first, rows, base, width, similarity), True
-    most = FIRST_NEAREST
+    tested = written(first.mapInArrow(_neighbours(similarity), "a long, b long").distinct(), "pairs")
+    texts = texts_of(ends_of(tested), rows, base)
+    links = verified(tested, texts, width, similarity)
+    discard(texts)
+    texts, most = None, FIRST_NEAREST
     while True:
         roots = written(components(links).withColumnRenamed("v", "code"), "roots")
-        if not found:
+        if one is None:
             break
-        new = written(candidates(one, roots, similarity, most).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = verified(new, rows, base, width, similarity)
-        found = not more.isEmpty()
-        tested, links, most = tested.unionByName(new), links.unionByName(more), most * 4
+        found = written(candidates(one, roots, similarity, most), "found")
+        new = written(found.where("a IS NOT NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if texts is None:
+            # All codes take part in this round: those of its pairs are looked up.
+            own = texts_of(ends_of(new), rows, base)
+            more = verified(new, own, width, similarity)
+            discard(own)
+        else:
+            more = verified(new, texts, width, similarity)
+        left = still_open(one, found)
+        discard(one)
+        discard(found)
+        discard(roots)
+        if left is not None and texts is None:
+            # Later rounds have no other codes than these.
+            texts = texts_of(left.select("code"), rows, base)
+        tested, links, one, most = tested.unionByName(new), links.unionByName(more), left, most * 4
+    if texts is not None:
+        discard(texts)
     codes = base.groupBy("code").agg(F.min("id").alias("least"))
     rooted = written(codes.join(roots, "code", "left").select("code", "least", F.coalesce("root", "code").alias("root")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))

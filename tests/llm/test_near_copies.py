@@ -127,3 +127,24 @@ def test_index_finds_all_pairs_in_which_a_code_asks():
         some = want if asks is None else want & (asks[i] | asks[j])
         got = [(min(a, b), max(a, b)) for x, y in N.GrayIndex(codes, first).links(5, asks) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
         assert sorted(got) == sorted(zip(i[some].tolist(), j[some].tolist(), strict=True))
+
+
+def test_pair_in_a_family_of_one_template(spark):
+    """Hundreds of texts that are almost near-copies of each other hide no pair that is one, whatever else links."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+
+    def changed(text, n):
+        out = list(text)
+        for at in rng.sample(range(0, len(out) // 10), n):
+            out[10 * at + rng.randrange(10)] = word()
+        return out
+
+    template = [word() for _ in range(400)]
+    texts = [changed(template, 9) for _ in range(600)]
+    texts += [changed(texts[i], 7) for i in (17, 300, 599)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = groups([t for _, t in rows])
+    assert want[600:] == [17, 300, 599] and sum(k != i for i, k in enumerate(want)) < 30
+    got = {r.id: r.component for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
