@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.plans import analytics, architecture, graphs, history
+from heddle.plans import analytics, architecture, graphs, history, streams
 from heddle.plans.base import Plan
 
-PLANS: dict[str, Plan] = {**history.PLANS, **analytics.PLANS, **graphs.PLANS, **architecture.PLANS}
+PLANS: dict[str, Plan] = {**history.PLANS, **analytics.PLANS, **graphs.PLANS, **architecture.PLANS, **streams.PLANS}

@@ -32,9 +32,6 @@ class InOrder(StatefulProcessor):
     OUT = ""
     MEMORY = ""
 
-    def __init__(self, key: str) -> None:
-        self.key = key
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at long, id long")
@@ -106,7 +103,7 @@ class InOrder(StatefulProcessor):
         if out:
             names = [c.split()[0] for c in self.OUT.split(", ")]
             frame = pd.DataFrame(out, columns=names)
-            frame.insert(0, self.key, pd.Series([key[0]] * len(out), dtype="object" if key[0] is None else None))
+            frame.insert(0, "_key", key[0])
             yield frame
 
     def close(self) -> None:
@@ -120,8 +117,7 @@ class Checkpoints(InOrder):
     OUT = "number long, records long, cursor long, final boolean"
     MEMORY = "number long, records long, since long, cursor long"
 
-    def __init__(self, key: str, rows: int, seconds: float, idle: float) -> None:
-        super().__init__(key)
+    def __init__(self, rows: int, seconds: float, idle: float) -> None:
         self.rows, self.gap, self.idle = rows, int(seconds * 1e6), int(idle * 1e6)
 
     def step(self, memory, at, row, out):
@@ -150,8 +146,7 @@ class RateLimit(InOrder):
     OUT = "id long, at long, running long, allowed boolean"
     MEMORY = "ran array<long>"
 
-    def __init__(self, key: str, most: int, seconds: float) -> None:
-        super().__init__(key)
+    def __init__(self, most: int, seconds: float) -> None:
         self.most, self.window = most, int(seconds * 1e6)
 
     def step(self, memory, at, row, out):
@@ -173,8 +168,8 @@ class Intervals(StatefulProcessor):
     puts out the whole state of its key, as a source's state message does. Intervals merge that begin ``step`` or less after the
     end of another."""
 
-    def __init__(self, key: str, step: int) -> None:
-        self.key, self.unit = key, step
+    def __init__(self, step: int) -> None:
+        self.unit = step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.spans = handle.getMapState("spans", "start long", "end long")
@@ -197,7 +192,7 @@ class Intervals(StatefulProcessor):
                 self.spans.updateValue((start,), (end,))
         version = self.version.get()[0] + 1 if self.version.exists() else 1
         self.version.update((version,))
-        yield pd.DataFrame({self.key: [key[0]], "version": [version], "spans": [[{"start": a, "end": b} for a, b in merged]]})
+        yield pd.DataFrame({"_key": [key[0]], "version": [version], "spans": [[{"start": a, "end": b} for a, b in merged]]})
 
     def close(self) -> None:
         pass
@@ -208,30 +203,39 @@ def slice_of(key: str, row: str, slices: int) -> Column:
     return F.concat_ws("/", F.col(key).cast("string"), F.pmod(F.xxhash64(row), F.lit(slices)).cast("string"))
 
 
+def _keyed(key: str) -> Column:
+    """A key as text that is never null: Python workers get batches of keys and cannot tell a null one from its neighbours."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("_key")
+
+
+def _unkeyed(out: DataFrame, key: str, kind: str) -> DataFrame:
+    own = F.when(F.col("_key") != "", F.substring("_key", 2, 1 << 30)).cast(kind).alias(key)
+    return out.select(own, *[c for c in out.columns if c != "_key"])
+
+
 def _ordered(stream: DataFrame, key: str, ts: str, row: str, late: str, processor: InOrder) -> DataFrame:
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull()).withWatermark(ts, late)
-    rows = timed.select(F.col(key), F.col(ts), F.unix_micros(ts).alias("at"), F.coalesce(F.col(row).cast("long"), F.lit(-1)).alias("id"))
-    kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"{key} {kind}, {processor.OUT}", outputMode="Append", timeMode="EventTime")
+    rows = timed.select(_keyed(key), F.col(ts), F.unix_micros(ts).alias("at"), F.coalesce(F.col(row).cast("long"), F.lit(-1)).alias("id"))
+    out = rows.groupBy("_key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"_key string, {processor.OUT}", outputMode="Append", timeMode="EventTime")
+    return _unkeyed(out, key, stream.schema[key].dataType.simpleString())
 
 
 def checkpoint_stream(stream: DataFrame, key: str, ts: str, row: str, late: str, rows: int, seconds: float = 0, idle: float = 3600) -> DataFrame:
     """(key, number, records, cursor, final): the checkpoints of each key, see ``Checkpoints``; cursors are microseconds."""
-    return _ordered(stream, key, ts, row, late, Checkpoints(key, rows, seconds, idle))
+    return _ordered(stream, key, ts, row, late, Checkpoints(rows, seconds, idle))
 
 
 def limited_stream(stream: DataFrame, key: str, ts: str, row: str, late: str, most: int, seconds: float) -> DataFrame:
     """(key, id, at, running, allowed) of each row, see ``RateLimit``."""
-    return _ordered(stream, key, ts, row, late, RateLimit(key, most, seconds))
+    return _ordered(stream, key, ts, row, late, RateLimit(most, seconds))
 
 
 def interval_stream(stream: DataFrame, key: str, start: str, end: str, step: int = 1) -> DataFrame:
     """(key, version, spans array<struct<start, end>>): the merged intervals of a key after each micro-batch that brings some."""
-    rows = stream.select(F.col(key), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).where("start IS NOT NULL AND end IS NOT NULL")
-    kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Intervals(key, step), outputStructType=f"{key} {kind}, version long, spans array<struct<start:long,end:long>>", outputMode="Update", timeMode="None"
-    )
+    rows = stream.select(_keyed(key), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).where("start IS NOT NULL AND end IS NOT NULL")
+    kind = "_key string, version long, spans array<struct<start:long,end:long>>"
+    out = rows.groupBy("_key").transformWithStateInPandas(statefulProcessor=Intervals(step), outputStructType=kind, outputMode="Update", timeMode="None")
+    return _unkeyed(out, key, stream.schema[key].dataType.simpleString())
 
 
 def run_stateful(stream: DataFrame, path: str, checkpoint: str) -> None:
