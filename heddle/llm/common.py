@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -160,12 +161,18 @@ def slices(batches: Iterator, rows: int = 1000) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    # The worker may idle for long: what it holds in reserve goes back.
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a Python worker holds in reserve goes back to the system: it may idle for long beside others."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 #: Rows of an Arrow batch at most: texts may be long, and both the JVM and the Python worker hold whole batches.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def in_batches(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import in_batches, quiet_threads, slices, table
+from heddle.llm.common import give_back, in_batches, quiet_threads, slices, table
 
 #: Capacity of a sequence: tokens, segments, loss-bearing tokens.
 LIMITS = (1024, 256, 1024)
@@ -265,6 +265,7 @@ def pack_documents(df: DataFrame, tokenizer: str, limits: tuple[int, int, int] =
         packer.pack(last=True)
         if out:
             yield rows()
+        give_back()
 
     return in_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, PIECES)
 

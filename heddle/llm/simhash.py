@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import discard, in_batches, table, written
+from heddle.llm.common import discard, give_back, in_batches, table, written
 
 RADIUS = 3
 #: Fingerprints of a node above which it is factored again, and times a node is factored at most.
@@ -219,6 +219,7 @@ def whole_nodes(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[tuple[
         held.append(batch)
     if held:
         yield out()
+    give_back()
 
 
 def _search(radius: int):
