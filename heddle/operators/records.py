@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddle.functions.values import safe_cast
+from heddle.operators.nested import remove_fields as remove_paths
+from heddle.operators.nested import set_fields
 
 
 def records_at(df: DataFrame, column: str, path: Sequence[str], element: T.DataType, keep: Sequence[str] = ()) -> DataFrame:
@@ -26,24 +28,13 @@ def records_at(df: DataFrame, column: str, path: Sequence[str], element: T.DataT
 
 
 def add_fields(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """Set fields by dotted path; structs on the way must exist, the last name may be new."""
-    for path, value in fields.items():
-        head, _, rest = path.partition(".")
-        df = df.withColumn(head, F.col(head).withField(rest, value) if rest else value)
-    return df
+    """Set fields by dotted path; parents that are missing are made. For positions and wildcards see ``nested.set_fields``."""
+    return set_fields(df, [(path.split("."), value) for path, value in fields.items()])
 
 
 def remove_fields(df: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Drop fields by dotted path; paths that do not exist change nothing."""
-    for path in paths:
-        head, _, rest = path.partition(".")
-        if head not in df.columns:
-            continue
-        if not rest:
-            df = df.drop(head)
-        elif isinstance(df.schema[head].dataType, T.StructType) and rest.split(".")[0] in df.schema[head].dataType.names:
-            df = df.withColumn(head, F.col(head).dropFields(rest))
-    return df
+    """Drop fields by dotted path; paths that do not exist change nothing. For more see ``nested.remove_fields``."""
+    return remove_paths(df, [path.split(".") for path in paths])
 
 
 def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
