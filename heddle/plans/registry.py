@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.plans import analytics, architecture, graphs, history, nested, streams
+from heddle.plans import analytics, architecture, graphs, history, nested, streams, vectors
 from heddle.plans.base import Plan
 
-PLANS: dict[str, Plan] = {**history.PLANS, **analytics.PLANS, **graphs.PLANS, **architecture.PLANS, **streams.PLANS, **nested.PLANS}
+PLANS: dict[str, Plan] = {**history.PLANS, **analytics.PLANS, **graphs.PLANS, **architecture.PLANS, **streams.PLANS, **nested.PLANS, **vectors.PLANS}
