@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.values import any_of
+from heddle.session import cut
 
 # Substrings that tell automated accounts, in lower case.
 BOT_EMAILS = ("noreply", "github-actions", "dependabot", "bot@", ".bot@", "actions@github", "renovate", "snyk-bot", "pre-commit-ci")
@@ -37,12 +39,53 @@ def contributors(df: DataFrame, name: str, email: str, commits: str, place: str,
     )
 
 
+#: Bits of a weight that one round of a selection looks at.
+DIGIT = 10
+
+
+def heaviest(df: DataFrame, by: Sequence[str], weight: str, share: float) -> DataFrame:
+    """Per group how many of its heaviest rows have at least ``share`` of its weight together: (by..., selected long).
+
+    No group is sorted. Equal weights fold into levels first; the level at which the share is reached is found from above, by a
+    histogram of DIGIT bits of the weights in each round: sums for each group and digit, at most 2 ** DIGIT of them in a group, tell
+    the digit, and only levels with that digit go on. Rounds are as many as the largest weight has digits. Weights are whole
+    numbers; null and negative ones count as 0, and a group without weight needs one row.
+    """
+    value = F.greatest(F.coalesce(F.col(weight).cast("long"), F.lit(0)), F.lit(0))
+    groups = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    keys = [f"_g{i}" for i in range(len(by))]
+    levels = cut(df.select(*groups, value.alias("_w")).groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n")))
+    mass = F.sum(F.col("_w").cast("decimal(38,0)") * F.col("_n"))
+    goal = levels.groupBy(*keys).agg((mass.cast("double") * share).alias("_goal"), F.max("_w").alias("_top"))
+    top = goal.agg(F.max("_top")).first()[0] or 0
+    found = goal.select(*keys, "_goal", F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("double").alias("_mass"), F.lit(0).cast("long").alias("_before"))
+    for shift in range(max(0, top.bit_length() - 1) // DIGIT * DIGIT, -1, -DIGIT):
+        # Null-safe: a null group is a group.
+        same = functools.reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], F.lit(True))
+        inside = levels.alias("l").join(found.alias("f"), same & (F.shiftright("l._w", shift + DIGIT) == F.shiftright("f._prefix", shift + DIGIT)))
+        digit = F.shiftleft(F.shiftright("l._w", shift), shift)
+        sums = inside.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys], digit.alias("_d")).agg(
+            mass.cast("double").alias("_m"), F.sum("_n").alias("_c"), F.first("_goal").alias("_goal"), F.first("_mass").alias("_mass"), F.first("_before").alias("_before")
+        )
+        # At most 2 ** DIGIT digits of a group, heaviest first.
+        histogram = F.sort_array(F.collect_list(F.struct("_d", "_m", "_c")), asc=False)
+        one = sums.groupBy(*keys).agg(histogram.alias("_h"), F.first("_goal").alias("_goal"), F.first("_mass").alias("_mass"), F.first("_before").alias("_before"))
+        start = F.struct(F.lit(None).cast("long").alias("d"), F.col("_mass").alias("mass"), F.col("_before").alias("before"))
+
+        def reach(acc: Column, x: Column) -> Column:
+            here = acc["mass"] + x["_m"] >= F.col("_goal")
+            over = F.struct(F.when(here, x["_d"]).alias("d"), F.when(here, acc["mass"]).otherwise(acc["mass"] + x["_m"]).alias("mass"), F.when(here, acc["before"]).otherwise(acc["before"] + x["_c"]).alias("before"))
+            return F.when(acc["d"].isNotNull(), acc).otherwise(over)
+
+        found = one.withColumn("_a", F.aggregate("_h", start, reach)).select(*keys, "_goal", F.col("_a.d").alias("_prefix"), F.col("_a.mass").alias("_mass"), F.col("_a.before").alias("_before"))
+        found = cut(found)
+    more = F.greatest(F.ceil((F.col("_goal") - F.col("_mass")) / F.col("_prefix")), F.lit(1))
+    return found.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], (F.col("_before") + F.when(F.col("_prefix") > 0, more).otherwise(1)).cast("long").alias("selected"))
+
+
 def bus_factor(df: DataFrame, by: Sequence[str], person: str, commits: str, share: float = 0.5) -> DataFrame:
-    """Per group the smallest number of top people who together have at least ``share`` of all commits."""
-    order = Window.partitionBy(*by).orderBy(F.col(commits).desc(), F.col(person))
-    total = F.sum(commits).over(Window.partitionBy(*by))
-    run = df.withColumn("_rn", F.row_number().over(order)).withColumn("_run", F.sum(commits).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", total)
-    return run.where(F.col("_run") >= share * F.col("_all")).groupBy(*by).agg(F.min("_rn").cast("long").alias("bus_factor"))
+    """Per group the smallest number of top people who together have at least ``share`` of all commits; a row is a person."""
+    return heaviest(df, by, commits, share).withColumnRenamed("selected", "bus_factor")
 
 
 def top_contributor(df: DataFrame, by: Sequence[str], person: str, commits: str, first: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -114,6 +115,45 @@ def directory_edges(elements: DataFrame, name: str, path: str, place: str, exist
     return out if existing is None else out.join(existing.select("source", "target").distinct(), ["source", "target"], "left_anti")
 
 
+def directory_classes(elements: DataFrame, name: str, path: str, place: str, most: int = 20) -> DataFrame:
+    """Directories with how many elements they have, how many lie at most two steps away, and how many edges ``directory_edges``
+    has from them: (dir, members, near, links), one row for each directory and no pairs.
+
+    What lies within two steps is the directory, its parent and grandparent, its children and grandchildren, and the other
+    children of its parent. All are sums by directory, added up below one and two steps: a directory that thousands share as an
+    ancestor is summed by each task before it is shuffled, and its sum is joined back to its children, which adaptive
+    execution splits. Names are taken as distinct. Edges themselves come from ``directory_edges``, for the directories asked for.
+    """
+    directory = F.regexp_extract(F.regexp_replace(F.col(path), r"\\", "/"), r"^(.*)/[^/]*$", 1)
+    parts = F.filter(F.split(directory, "/"), lambda x: x != "")
+    # The operator's own rule takes the first elements of a directory; a count needs no order.
+    raw = elements.select(F.col(name), directory.alias("_raw"), parts.alias("_p")).groupBy("_raw").agg(F.count(F.lit(1)).alias("_n"), F.first("_p").alias("_p"))
+    own = raw.select("_p", F.least("_n", F.lit(most)).alias("_n")).groupBy("_p").agg(F.sum("_n").alias("members"))
+
+    def up(n: int) -> Column:
+        return F.when(F.size("_p") >= n, F.array_join(F.slice("_p", 1, F.size("_p") - n), "/"))
+
+    dirs = cut(own.select(F.array_join("_p", "/").alias("dir"), up(1).alias("_up1"), up(2).alias("_up2"), "members"))
+    below = [dirs.groupBy(F.col(f"_up{n}").alias("_k")).agg(F.sum("members").alias(f"_below{n}")).where("_k IS NOT NULL") for n in (1, 2)]
+    above = dirs.select(F.col("dir").alias("_k"), F.col("members").alias("_own"))
+    out = dirs
+    for on, side, column in (("dir", below[0], "_below1"), ("dir", below[1], "_below2"), ("_up1", above, "_own"), ("_up2", above, "_own"), ("_up1", below[0], "_below1")):
+        renamed = side.select(F.col("_k").alias("_on"), F.col(column).alias(f"_x{len(out.columns)}"))
+        out = out.join(renamed, F.col(on) == F.col("_on"), "left").drop("_on")
+    sums = [F.coalesce(F.col(c), F.lit(0)) for c in out.columns if c.startswith("_x")]
+    # A directory below another counts itself among its parent's children; one without a parent counts itself here.
+    near = functools.reduce(lambda a, b: a + b, sums) + F.when(F.col("_up1").isNull(), F.col("members")).otherwise(0)
+    return out.select("dir", "members", near.alias("near"), (F.col("members") * (near - 1)).alias("links"))
+
+
+def shared_value_classes(df: DataFrame, owner: str, value: str) -> DataFrame:
+    """Values with the number of their owners and of the pairs of owners that share them: (value, owners, links). Owners of a value
+    are its class; pairs come from ``shared_values``, for the values asked for. Null values are shared by none."""
+    rows = df.select(F.col(owner).alias("_o"), F.col(value)).where(F.col(value).isNotNull() & F.col("_o").isNotNull()).distinct()
+    n = F.col("owners")
+    return rows.groupBy(value).agg(F.count(F.lit(1)).alias("owners")).withColumn("links", F.expr("owners * (owners - 1) div 2")).where(n >= 1)
+
+
 # --- communities ----------------------------------------------------------------------------------------------------
 
 

@@ -35,6 +35,20 @@ def _bus(spark, d):
     return A.bus_factor(o, ["o_orderstatus"], "o_custkey", "n")
 
 
+def _heaviest_parts(spark, d):
+    """How many of the heaviest lines of each flag have nine tenths of its price: weights of many values, groups of many rows."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.floor(F.col("l_extendedprice")).alias("price"))
+    return A.heaviest(rows, ["l_returnflag"], "price", 0.9)
+
+
+def _split(spark, d):
+    """All documents cut at paragraphs, lines and words; digests of the chunks."""
+    from heddle.sources.documents import split_text
+
+    out = split_text(table(spark, d, "documents").select("doc_id", "text"), "text", 1000, 200)
+    return out.select("doc_id", "chunk_no", "start", F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("md5"))
+
+
 def _top_share(spark, d):
     o = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
     return A.top_contributor(o, ["o_orderpriority"], "o_orderstatus", "n", "first")
@@ -234,6 +248,12 @@ PLANS = {
         r AS (SELECT *, row_number() OVER w AS rn, sum(n) OVER w AS run, sum(n) OVER (PARTITION BY o_orderstatus) AS t FROM c
               WINDOW w AS (PARTITION BY o_orderstatus ORDER BY n DESC, o_custkey ROWS UNBOUNDED PRECEDING))
         SELECT o_orderstatus, min(rn) AS bus_factor FROM r WHERE run >= 0.5 * t GROUP BY 1"""),
+    "heaviest_lines": Plan(_heaviest_parts, """
+        WITH w AS (SELECT l_returnflag, CAST(floor(l_extendedprice) AS BIGINT) AS p FROM lineitem),
+        r AS (SELECT l_returnflag, row_number() OVER w AS rn, sum(p) OVER w AS run, sum(p) OVER (PARTITION BY l_returnflag) AS t FROM w
+              WINDOW w AS (PARTITION BY l_returnflag ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
+        SELECT l_returnflag, min(rn) AS selected FROM r WHERE run >= 0.9::DOUBLE * t GROUP BY 1"""),
+    "split_recursive": Plan(_split),
     "top_contributor": Plan(_top_share, """
         WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL)
         SELECT o_orderpriority, arg_min(o_orderstatus, (-n, f)) AS top_contributor, round(max(n) / sum(n), 3) AS top_contributor_share FROM c GROUP BY 1"""),

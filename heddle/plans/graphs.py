@@ -130,6 +130,31 @@ def _shared(spark, d):
     return G.shared_values(table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
 
 
+def _directory_classes(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("path"))
+    return G.directory_classes(p.withColumn("path", F.concat("path", F.lit("/"), "page_id")), "page_id", "path", "page_id")
+
+
+def _value_classes(spark, d):
+    """Parts with the suppliers that delivered them, over all lines."""
+    return G.shared_value_classes(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+
+
+CLASSES_SQL = r"""
+WITH p AS (SELECT page_id AS name, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS dir FROM pages),
+own AS (SELECT name, list_filter(string_split(dir, '/'), lambda y: y <> '') AS parts FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY name) AS rn FROM p) WHERE rn <= 20),
+u AS (SELECT name, array_to_string(parts, '/') AS dir, len(parts) AS n, unnest(range(0, least(2, len(parts)) + 1)) AS up, parts FROM own),
+v AS (SELECT name, dir, up, array_to_string(parts[1:n - up], '/') AS above FROM u),
+pairs AS (SELECT DISTINCT a.dir, a.name AS source, b.name AS target FROM v a JOIN v b ON a.above = b.above WHERE a.up + b.up <= 2)
+SELECT dir, count(DISTINCT source)::BIGINT AS members, count(DISTINCT target)::BIGINT AS near, count(*) FILTER (source <> target)::BIGINT AS links FROM pairs GROUP BY dir
+"""
+
+VALUE_CLASSES_SQL = """
+WITH o AS (SELECT DISTINCT l_suppkey AS o, l_partkey FROM lineitem)
+SELECT a.l_partkey, count(DISTINCT a.o) AS owners, count(*) FILTER (a.o < b.o) AS links FROM o a JOIN o b ON a.l_partkey = b.l_partkey GROUP BY 1
+"""
+
+
 def _workspace(spark) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -184,6 +209,8 @@ PLANS = {
     "communities": Plan(_communities),
     "community_groups": Plan(_groups),
     "directory_proximity": Plan(_proximity, PROXIMITY_SQL),
+    "directory_classes": Plan(_directory_classes, CLASSES_SQL),
+    "shared_value_classes": Plan(_value_classes, VALUE_CLASSES_SQL),
     "token_resolution": Plan(_resolution, RESOLUTION_SQL),
     "outer_merge": Plan(_outer, """
         SELECT coalesce(c.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'left_only' WHEN c.k IS NULL THEN 'right_only' ELSE 'both' END AS merged

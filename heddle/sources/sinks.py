@@ -103,14 +103,22 @@ def file_name(pattern: str, now: datetime, sync_id: int = 0, part: int = 0, exte
 
 
 def split_documents(df: DataFrame, keep: Sequence[str], text: str, size: int, overlap: int = 0) -> DataFrame:
-    """Chunks of ``size`` characters, each beginning ``size - overlap`` after the one before: keep..., chunk_no, chunk."""
+    """Chunks of ``size`` characters, each beginning ``size - overlap`` after the one before: keep..., chunk_no, chunk.
+
+    A text is cut into steps once, and a chunk is joined from the few steps it covers: its length counts once. Texts by their
+    own separators: ``documents.split_text``.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be below the size")
     t = F.coalesce(F.col(text), F.lit(""))
     step = size - overlap
     last = F.greatest(F.ceil((F.length(t) - overlap) / step) - 1, F.lit(0)).cast("int")
-    rows = df.select(*keep, t.alias("_t"), F.explode(F.sequence(F.lit(0), last)).alias("_n"))
-    return rows.select(*keep, F.col("_n").cast("long").alias("chunk_no"), F.substring(F.col("_t"), F.col("_n") * step + 1, F.lit(size)).alias("chunk"))
+    steps = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    covers = 1 + -(-overlap // step)
+    chunk = lambda n: F.substring(F.array_join(F.slice("_s", n + 1, covers), ""), 1, size)
+    rows = df.select(*keep, steps.alias("_s"), last.alias("_last"))
+    rows = rows.select(*keep, F.transform(F.sequence(F.lit(0), F.col("_last")), lambda n: F.struct(n.cast("long").alias("chunk_no"), chunk(n).alias("chunk"))).alias("_c"))
+    return rows.select(*keep, F.explode("_c").alias("_c")).select(*keep, "_c.chunk_no", "_c.chunk")
 
 
 def replaced_documents(index: DataFrame, chunks: DataFrame, record: str) -> DataFrame:
