@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import in_batches, slices, table
+from heddle.llm.common import discard, in_batches, slices, table, written
 
 #: Labelled documents to train on, at most: those with the smallest hashes of their ids, as far as their lines add up to
 #: TRAINING_LINES, 14 numbers each. A document is taken with all its lines or not at all.
@@ -210,13 +210,18 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             n = pa.array([len(f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), n, pa.array([f.astype("<f4").tobytes() for f in found])], names=["id", "label", "n", "lines"])
 
-    rows = docs.select("id", "label", "text").mapInArrow(run, "id long, label int, n long, lines binary")
-    # At most ``most`` rows meet in this window.
-    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= TRAINING_LINES).collect()
-    if not rows:
+    rows = written(docs.select("id", "label", "text").mapInArrow(run, "id long, label int, n long, lines binary"), "lines")
+    # Sizes of at most ``most`` documents decide; one that no longer fits is passed over, later ones may still come in.
+    left, chosen = TRAINING_LINES, []
+    for r in rows.orderBy(F.xxhash64("id"), "id").select("id", "n").collect():
+        if r.n <= left:
+            left -= r.n
+            chosen.append(r.id)
+    own = rows.where(F.col("id").isin(chosen)).orderBy(F.xxhash64("id"), "id").collect() if chosen else []
+    discard(rows)
+    if not own:
         return None
-    return fit([np.frombuffer(r.lines, dtype="<f4").astype(float).reshape(-1, OWN) for r in rows], np.array([float(r.label > 0) for r in rows]))
+    return fit([np.frombuffer(r.lines, dtype="<f4").astype(float).reshape(-1, OWN) for r in own], np.array([float(r.label > 0) for r in own]))
 
 
 def classify(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
