@@ -6,12 +6,14 @@ followed by ``=``, ``:=``, ``=>`` or ``:`` and a value of literals, bare words a
 ``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``name => 'literal'``, ``cfg["name"] = "literal"``,
 ``export NAME=literal``, ``<name>literal</name>``. Assignments in comments count, as disabled configuration does.
 
-Constants are propagated by reference: a name that is assigned literals stands for the places of those literals, at most
-PARTS of them and VALUE characters, so no value is ever copied into another. A literal is a secret if the score of its
-target name and that of the value together reach THRESHOLD.
+Constants are propagated by reference: the value of a name is a place in the text, or a sequence of values that it refers
+to, so no value is ever copied into another, however long it is and of however many parts. What a score needs to know of a
+value (its length, which characters it has, how many words) is counted once for each place and added up for sequences. A
+literal is a secret if the score of its target name and that of the value together reach THRESHOLD; private keys, wrapped
+lines of a credential and phrases of words have scores of their own.
 
-Every character is read a bounded number of times: the time is linear in the length of a text, however long its words are
-and however often constants refer to each other.
+Every character is read a bounded number of times: the time is linear in the length of a text, however long its names and
+values are and however often constants refer to each other.
 
 Defined results: a null text is empty and has no spans; null ids and repeated rows stay; very long texts are scanned
 whole; an empty table gives an empty result; other columns are not read, whatever their names. Spans are in code points,
@@ -45,8 +47,11 @@ SENSITIVE = {
 }
 #: What a name and its literal have to score together.
 THRESHOLD = 4.0
-#: Characters of a name that scores, and characters and literals of a value that counts as a constant.
-NAME_CHARS, VALUE, PARTS = 100, 4096, 16
+#: Characters of a value up to which words like "example" make it a placeholder; words of a phrase that may be a secret, and
+#: its characters at least; and characters that a word of a wrapped credential has on average.
+SHORT, PHRASE, PHRASE_CHARS, WRAPPED = 100, (3, 12), 16, 16
+#: Lengths beyond this count as this: constants may double each other.
+HUGE = 1 << 40
 
 #: One token of code. Runs are possessive: a character that has been read is not read again. Strings end at their line.
 TOKEN = re.compile(
@@ -70,32 +75,114 @@ CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 def name_score(name: str) -> float:
-    """How much a target name points to a secret; a name of more than NAME_CHARS is none."""
-    if len(name) > NAME_CHARS:
-        return 0.0
+    """How much a target name points to a secret."""
     parts = [p.lower() for p in CAMEL.findall(name)]
     joined = {a + b for a, b in zip(parts, parts[1:], strict=False)}
     return sum(SENSITIVE.get(p, 0.0) for p in {*parts, *joined})
 
 
+class Stats:
+    """What a score needs to know of a value: length, how often it has each character (others than ASCII in 128 classes), words, ends
+    of up to EDGE characters, and whether it has line breaks, is marked as a placeholder or as a private key."""
+
+    __slots__ = ("n", "counts", "words", "head", "tail", "lines", "placeholder", "key")
+    EDGE = 16
+
+    @classmethod
+    def of(cls, text: str) -> Stats:
+        out = cls()
+        out.n, out.words, out.lines = len(text), len(text.split()), "\n" in text
+        out.counts = Counter(text)
+        for c in [c for c in out.counts if c > "\x7f"]:
+            n = out.counts.pop(c)
+            out.counts[chr(128 + ord(c) % 128)] += n
+        out.head, out.tail = text[: cls.EDGE], text[-cls.EDGE :]
+        out.placeholder = bool(PLACEHOLDER.search(text))
+        out.key = ("-----BEGIN" in text) + 2 * ("PRIVATE KEY" in text)
+        return out
+
+    @classmethod
+    def joined(cls, parts: list[Stats]) -> Stats:
+        """Of values one after the other."""
+        out = cls()
+        out.n, out.words, out.lines, out.placeholder, out.key = 0, 0, False, False, 0
+        out.counts, out.head, out.tail = Counter(), "", ""
+        for p in parts:
+            if out.n < HUGE:
+                out.n += p.n
+                out.words += p.words
+                out.counts.update(p.counts)
+            out.lines, out.key = out.lines or p.lines, out.key | p.key
+            out.placeholder = out.placeholder or p.placeholder or bool(PLACEHOLDER.search(out.tail + p.head))
+            if len(out.head) < cls.EDGE:
+                out.head = (out.head + p.head)[: cls.EDGE]
+            out.tail = (out.tail + p.tail)[-cls.EDGE :]
+        return out
+
+    def score(self) -> float:
+        """How much a value looks like a credential: 0 for short ones and placeholders, up to 3."""
+        if self.key == 3:
+            return 3.0
+        if self.n < 8 or self.placeholder and self.n <= SHORT:
+            return 0.0
+        bits = -sum(c / self.n * math.log2(c / self.n) for c in self.counts.values())
+        if bits < 2.0:
+            return 0.0
+        if any(c.isspace() for c in self.counts if c <= "\x7f") and self.n < WRAPPED * self.words:
+            phrase = PHRASE[0] <= self.words <= PHRASE[1] and self.n >= PHRASE_CHARS and not self.lines
+            return 1.0 if phrase else 0.0
+        signs = "".join(self.counts)
+        kinds = sum(bool(re.search(p, signs)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return min(3.0, 0.5 + 0.3 * bits + 0.4 * (kinds - 1))
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a credential: 0 for short ones and placeholders, up to 3."""
-    if len(value) < 8 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    if bits < 2.0:
-        return 0.0
-    return min(3.0, 0.5 + 0.3 * bits + 0.4 * (kinds - 1))
+    """How much a literal looks like a credential."""
+    return Stats.of(value).score()
+
+
+class Value:
+    """A place in a text, or values one after the other."""
+
+    __slots__ = ("start", "end", "parts", "stats", "told")
+
+    def __init__(self, start: int = 0, end: int = 0, parts: tuple[Value, ...] = ()) -> None:
+        self.start, self.end, self.parts = start, end, parts
+        self.stats: Stats | None = None
+        #: Whether its places are among the spans already.
+        self.told = False
+
+    def known(self, text: str) -> Stats:
+        """Its statistics; each value below it is looked at once, whoever refers to it."""
+        stack = [self]
+        while stack:
+            v = stack[-1]
+            if v.stats is None and (missing := [p for p in v.parts if p.stats is None]):
+                stack += missing
+                continue
+            if v.stats is None:
+                v.stats = Stats.joined([p.stats for p in v.parts]) if v.parts else Stats.of(text[v.start : v.end])
+            stack.pop()
+        return self.stats
+
+    def places(self) -> Iterator[tuple[int, int]]:
+        """Places below it that no one has asked for before."""
+        stack = [self]
+        while stack:
+            v = stack.pop()
+            if not v.told:
+                v.told = True
+                stack += v.parts
+                if not v.parts and v.end > v.start:
+                    yield v.start, v.end
 
 
 class Lexer:
-    """Reads a text once; ``pairs`` yields (name, places of its literals) of its assignments, in order."""
+    """Reads a text once; ``pairs`` yields (name, value) of its assignments, in order."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.constants: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.constants: dict[str, Value] = {}
         #: Up to where a quote of a kind is known not to be closed.
         self.open_until = {'"': 0, "'": 0, '"""': 0, "'''": 0}
 
@@ -118,38 +205,38 @@ class Lexer:
             self.open_until[sign] = len(text) if end < 0 else end
         return m.lastgroup, m.end()
 
-    def pairs(self) -> Iterator[tuple[str, tuple[tuple[int, int], ...]]]:
+    def pairs(self) -> Iterator[tuple[str, Value]]:
         text, at, end = self.text, 0, len(self.text)
         name = element = None  # what an assignment would go to; the open element and where its text begins
         while at < end:
             start = at
             kind, at = self.token(start)
             if kind == "word":
-                word = text[start:at] if at - start <= NAME_CHARS else ""
+                word = text[start:at]
                 name = word if NAME.match(word) else None
             elif kind == "string":
                 # "name": value, or the index of cfg["name"] = value.
-                inner = text[start + 1 : at - 1] if at - start - 2 <= NAME_CHARS else ""
+                inner = text[start + 1 : at - 1]
                 name = inner if NAME.match(inner) else None
             elif kind == "op" and name and text[start:at] not in ("==", "::"):
                 at, parts = self.value(at)
                 if parts:
-                    yield from self.assigned(name, parts)
+                    yield self.assigned(name, parts)
                 name = None
             elif kind == "open":
                 element, name = (text[start + 1 : at - 1], at), None
             elif kind == "close":
-                if element and element[0] == text[start + 2 : at - 1] and 0 < start - element[1] <= VALUE:
+                if element and element[0] == text[start + 2 : at - 1] and start > element[1]:
                     inner = text[element[1] : start]
-                    if not any(c.isspace() or c in "<>" for c in inner):
-                        yield from self.assigned(element[0], [(element[1], start)])
+                    if "<" not in inner and ">" not in inner:
+                        yield self.assigned(element[0], [Value(element[1], start)])
                 element = name = None
             elif kind != "gap" and text[start] != "]":
                 # A sign of a comment or of anything else ends what stood before it; what follows is read like code.
                 name = None
 
-    def value(self, at: int) -> tuple[int, list[tuple[int, int]]]:
-        """Where the value that begins at ``at`` ends, and the places of its literals."""
+    def value(self, at: int) -> tuple[int, list[Value]]:
+        """Where the value that begins at ``at`` ends, and what it is joined from."""
         text, parts, n = self.text, [], len(self.text)
 
         def past_gap(at: int) -> int:
@@ -159,48 +246,38 @@ class Lexer:
             at = past_gap(at)
             kind, end = self.token(at) if at < n else ("", at)
             if kind == "string":
-                parts.append((at + 1, end - 1))
+                parts.append(Value(at + 1, end - 1))
             elif kind == "block":
-                parts.append((at + 3, end - 3))
+                parts.append(Value(at + 3, end - 3))
             elif kind == "word" and end < n and text[end] in "\"'" and text[at:end].lower() in PREFIXES:
                 at = end
                 continue
             elif kind == "word" or kind == "plus" and not parts:
-                if (known := self.constants.get(text[at:end]) if end - at <= NAME_CHARS else None) is not None:
-                    parts += known
+                if (known := self.constants.get(text[at:end])) is not None:
+                    parts.append(known)
                 else:
                     end = BARE.match(text, at).end()
-                    parts.append((at, end))
+                    parts.append(Value(at, end))
             else:
                 return at, parts
             at = end
             after = past_gap(at)
-            if after >= n or text[after] != "+" or len(parts) > PARTS:
+            if after >= n or text[after] != "+":
                 return at, parts
             at = after + 1
 
-    def bound(self, parts: list[tuple[int, int]]) -> tuple[tuple[int, int], ...] | None:
-        """The places of a value that is short enough to be a constant."""
-        if len(parts) > PARTS or sum(b - a for a, b in parts) > VALUE:
-            return None
-        return tuple(parts)
-
-    def assigned(self, name: str, parts: list[tuple[int, int]]) -> Iterator[tuple[str, tuple[tuple[int, int], ...]]]:
-        own = self.bound(parts)
-        if own is None:
-            self.constants.pop(name, None)
-        elif len(name) <= NAME_CHARS:
-            self.constants[name] = own
-            yield name, own
+    def assigned(self, name: str, parts: list[Value]) -> tuple[str, Value]:
+        own = self.constants[name] = parts[0] if len(parts) == 1 else Value(parts=tuple(parts))
+        return name, own
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that are secrets by the names they are assigned to, directly or through other names."""
-    out: set[tuple[int, int]] = set()
-    for name, parts in Lexer(text).pairs():
+    out: list[tuple[int, int]] = []
+    for name, value in Lexer(text).pairs():
         score = name_score(name)
-        if score >= 1.0 and (own := literal_score("".join(text[a:b] for a, b in parts))) and score + own >= THRESHOLD:
-            out |= {p for p in parts if p[1] > p[0]}
+        if score >= 1.0 and (own := value.known(text).score()) and score + own >= THRESHOLD:
+            out += value.places()
     return sorted(out)
 
 
