@@ -157,19 +157,48 @@ def test_exact_dedup_of_nothing(empty):
 
 
 def brute_spans(docs):
-    first, out = {}, set()
-    seen = []
-    for d, t in sorted(docs):
-        for no, (a, b, n, u) in enumerate(U.units(t or "")):
+    """Runs of repeated units, extended word by word beside what they repeat."""
+    texts, first, seen = {d: t or "" for d, t in docs}, {}, []
+    for d in sorted(texts):
+        for no, (a, b, n, u) in enumerate(U.units(texts[d])):
             again = u in first
             if not again:
-                first[u] = (d, a)
+                first[u] = (d, no, a)
             seen.append((d, no, a, b, n, u, again))
-    run = []
+
+    def beside(d, no, back):
+        """Words of the sentence of a unit, up to its end or from its start."""
+        at = 0
+        for m in U.SENTENCE.finditer(texts[d]):
+            own = U.units(m.group())
+            if own and at <= no < at + len(own):
+                a, b, n, _ = (x for x in own[no - at])
+                words = [(w.group().lower(), w.start(), w.end()) for w in U.WORD.finditer(texts[d], m.start() + (0 if back else a), m.start() + b if back else m.end())]
+                return words[-max(U.LONG, n) :] if back else words[: max(U.LONG, n)]
+            at += len(own)
+        return []
+
+    def shared(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n][0] == y[n][0]:
+            n += 1
+        return n
+
+    out, run, last = set(), [], (None, 0)
     for x in [*seen, None]:
         if run and (x is None or not x[6] or x[0] != run[-1][0] or x[1] != run[-1][1] + 1):
-            if sum(r[4] for r in run) >= U.MIN_WORDS:
-                out.add((run[0][0], run[0][2], run[-1][3], sum(r[4] for r in run), *first[run[0][5]]))
+            d, start, end, words = run[0][0], run[0][2], run[-1][3], sum(r[4] for r in run)
+            if words >= U.ANCHOR:
+                kept, kept_last = first[run[0][5]], first[run[-1][5]]
+                before, after = beside(d, run[0][1] - 1, True), beside(d, run[-1][1] + 1, False)
+                if k := shared(before[::-1], beside(kept[0], kept[1] - 1, True)[::-1]):
+                    start, words = before[-k][1], words + k
+                if k := shared(after, beside(kept_last[0], kept_last[1] + 1, False)):
+                    end, words = after[k - 1][2], words + k
+                start = max(start, last[1]) if last[0] == d else start
+                last = (d, max(end, last[1]) if last[0] == d else end)
+                if start < end and words >= U.MIN_WORDS:
+                    out.add((d, start, end, words, kept[0], kept[2]))
             run = []
         if x is not None and x[6]:
             run.append(x)
@@ -195,6 +224,37 @@ def test_planted_passages_go_but_for_the_first(spark, mark):
     assert all(sum(r.words for r in got if r.id == i) >= 25 for i in range(1, 6))
 
 
+@pytest.mark.parametrize(("sentence", "passage"), [(0, 51), (0, 80), (25, 55), (40, 55), (12, 55), (24, 51), (30, 60), (60, 150)])
+def test_passages_of_over_50_words_go_whole(spark, sentence, passage):
+    """Pairs of texts that share one passage, cut anywhere: by words alone, without the cutter under test. Other texts stay."""
+    rng = random.Random(sentence * 100 + passage)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    def marked(words, shift):
+        return [w + "." if sentence and (i + shift) % sentence == 0 else w for i, w in enumerate(words)]
+
+    rows, shared = [], {}
+    for i in range(60):
+        own = marked([word() for _ in range(passage)], rng.randrange(100))
+        for k in (2 * i, 2 * i + 1):
+            left, right = (marked([word() for _ in range(rng.randrange(30, 120))], rng.randrange(100)) for _ in range(2))
+            rows.append((k, " ".join([*left, *own, *right])))
+            shared[k] = (len(" ".join(left)) + 1, len(" ".join([*left, *own])))
+    got = {}
+    for r in U.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.id, []).append((r.start, r.end))
+    assert not [k for k in got if k % 2 == 0]
+    gone = []
+    for k in range(1, 120, 2):
+        a, b = shared[k]
+        text = rows[k][1]
+        taken = sum(len(text[max(a, s) : min(b, e)].split()) for s, e in got.get(k, []))
+        # Nothing beyond the passage goes, but for a sign or a space at its edge.
+        assert sum(len(text[s:e].split()) for s, e in got.get(k, [])) <= passage + 1
+        gone.append(min(1, taken / passage))
+    assert sum(gone) / len(gone) >= 0.95 and sum(g < 0.9 for g in gone) <= 3
+
+
 def test_substring_dedup_odd_rows(odd, empty):
     out = U.substring_dedup(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
