@@ -10,7 +10,7 @@ bound the similarity of a pair from above; only pairs that they allow leave a no
 
 Texts of equal shingle sets fold into one code first. Candidates are verified in rounds: neighbours in Gray order of a few
 pools, then in every node the nearest codes that are not connected yet, asked for by the smaller group. A node in which a
-code had more candidates than a round takes stays open; only open nodes are searched again, with four times as many for
+code had more candidates than a round takes stays open; only open nodes are searched again, with STEP times as many for
 each code, until none is open: no candidate is left out, whatever else the corpus holds. Codes that a link joined are not
 compared any more, so of a dense group of thousands of texts none is compared with all others. A group of more than
 NODE_ROWS codes is dealt out over several tasks. All rows of nodes are shuffled once; what is open is a table of its own
@@ -42,11 +42,11 @@ WIDTH, SIMILARITY = 5, Fraction(4, 5)
 SUMS, TABLES, POOL, CONFIDENT = 256, 32, 32, 3
 #: Fingerprint bits in which candidates differ at most, and pools of the first round.
 RADIUS, FIRST_TABLES = 16, 4
-#: Nearest codes of other groups that a code is compared with in each of its nodes, in the round after the first; later
-#: rounds take four times as many.
-FIRST_NEAREST = 4
+#: Nearest codes of other groups that a code is compared with in each of its nodes, in the round after the first; each later
+#: round takes STEP times as many.
+FIRST_NEAREST, STEP = 4, 16
 #: Ranges of hashes whose shingles are counted, modulo 16.
-COUNTS = 64
+COUNTS = 128
 #: Codes of one group that meet in one task, and pairs that a search holds before it keeps the nearest.
 NODE_ROWS, PAIRS_HELD = 4096, 1 << 19
 
@@ -92,7 +92,7 @@ def sign_sums(own: np.ndarray) -> np.ndarray:
 
 def range_counts(own: np.ndarray) -> bytes:
     """Shingles in each of COUNTS equal ranges of their hashes, modulo 16, two counts to a byte."""
-    n = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=COUNTS) & 15
+    n = np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=COUNTS) & 15
     return (n[::2] * 16 + n[1::2]).astype(np.uint8).tobytes()
 
 
@@ -379,7 +379,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         if left is not None and texts is None:
             # Later rounds have no other codes than these.
             texts = texts_of(left.select("code"), rows, base)
-        tested, links, one, most = tested.unionByName(new), links.unionByName(more), left, most * 4
+        tested, links, one, most = tested.unionByName(new), links.unionByName(more), left, most * STEP
     if texts is not None:
         discard(texts)
     codes = base.groupBy("code").agg(F.min("id").alias("least"))
