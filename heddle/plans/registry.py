@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.plans import analytics, architecture, databases, graphs, history, lake, nested, streams, vectors
+from heddle.plans import analytics, architecture, databases, files, graphs, history, lake, nested, streams, vectors
 from heddle.plans.base import Plan
 
-PLANS: dict[str, Plan] = {**history.PLANS, **analytics.PLANS, **graphs.PLANS, **architecture.PLANS, **streams.PLANS, **nested.PLANS, **vectors.PLANS, **databases.PLANS, **lake.PLANS}
+PLANS: dict[str, Plan] = {**history.PLANS, **analytics.PLANS, **graphs.PLANS, **architecture.PLANS, **streams.PLANS, **nested.PLANS, **vectors.PLANS, **databases.PLANS, **lake.PLANS, **files.PLANS}

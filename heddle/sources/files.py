@@ -86,10 +86,10 @@ def read_avro(spark: SparkSession, path: str, double_as_string: bool = False) ->
 READERS = {"csv": read_csv, "jsonl": read_jsonl, "parquet": read_parquet, "avro": read_avro}
 
 
-def read(spark: SparkSession, fmt: str, path: str, **options) -> DataFrame:
-    if fmt not in READERS:
-        raise ValueError(f"no such format: {fmt}")
-    return READERS[fmt](spark, path, **options)
+def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
+    if kind not in READERS:
+        raise ValueError(f"no such format: {kind}")
+    return READERS[kind](spark, path, **options)
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*", most: int = 50_000, depth: int = 10) -> DataFrame:

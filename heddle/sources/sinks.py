@@ -37,8 +37,9 @@ def unflattened(df: DataFrame, lead: Sequence[str], name: str = "data") -> DataF
 
 
 def write_csv(df: DataFrame, path: str, lead: Sequence[str] = (), flatten: bool = True, compression: str = "none", mode: str = "errorifexists") -> None:
+    """CSV with a header; a quote within a value is doubled, as readers expect by default."""
     out = flattened(df, lead) if flatten else unflattened(df, lead)
-    out.write.mode(mode).option("header", "true").option("compression", compression).option("emptyValue", "").csv(path)
+    out.write.mode(mode).option("header", "true").option("compression", compression).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, compression: str = "none", mode: str = "errorifexists") -> None:
