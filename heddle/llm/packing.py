@@ -38,7 +38,7 @@ CONVERSATION_LIMITS = (1024, 8, 512)
 #: A window is packed when it holds so many examples or so many bytes of ids.
 WINDOW_ROWS, WINDOW_BYTES = 4096, 32 << 20
 #: Words whose ids a tokenizing worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -89,6 +89,8 @@ class Ids:
             import tiktoken
 
             self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        del ranks
+        give_back()
 
     def word(self, word: str) -> bytes:
         if not self.ranked or max(word) >= SETTLED:

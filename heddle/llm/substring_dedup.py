@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap_filter, in_batches, passing, table, without_spans, written
+from heddle.llm.common import bitmap_filter, discard, in_batches, passing, table, without_spans, written
 
 #: Words above which a sentence is cut again, mean words of such a piece, words of a run that is extended, and words a removed
 #: run needs.
@@ -179,7 +179,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = passing(rows, bitmap_filter(often, ["d1", "d2"], FILTER_BITS), ["d1", "d2"], FILTER_BITS)
     later = some.join(often, ["d1", "d2"]).where(F.col("id").isNotNull() & ~rank.eqNullSafe(F.col("keep")))
     # Rows that repeat id and text give equal units: one of each is enough.
-    later = written(later.select("id", "hash", "no", "start", "end", "words", "keep"), "later").dropDuplicates(["id", "hash", "no"])
+    later = written(later.select("id", "hash", "no", "start", "end", "words", "keep"), "later")
+    discard(rows)
+    discard(often)
+    later = later.dropDuplicates(["id", "hash", "no"])
     island = F.col("no") - F.row_number().over(Window.partitionBy("id", "hash").orderBy("no"))
     runs = later.withColumn("island", island).groupBy("id", "hash", "island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("no").alias("first"), F.max("no").alias("last"),
