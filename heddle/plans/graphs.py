@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from heddle.operators import graph as G
+from heddle.operators.communities import moved_communities
 from heddle.plans.base import Plan, table
 from heddle.session import shared_dir
 from heddle.streaming import streams
@@ -68,6 +69,37 @@ def _groups(spark, d):
     return G.groups_of(_communities(spark, d), _sparse(spark, d).select(F.col("source").alias("id"))).select("community", "size", "confidence")
 
 
+def _components(spark, d):
+    """Components of the graph of parts that were bought together."""
+    return G.weak_components(_edges(spark, d))
+
+
+def _co_summary(spark, d):
+    return G.summary(_edges(spark, d))
+
+
+def _co_communities(spark, d):
+    """Communities of the graph of parts that were bought together, weighted by how often."""
+    return moved_communities(_edges(spark, d))
+
+
+COMPONENTS_SQL = f"""
+WITH RECURSIVE p AS ({PAIRS_SQL}),
+e AS (SELECT DISTINCT source AS s, target AS t FROM p UNION SELECT DISTINCT target, source FROM p),
+cc(id, component) USING KEY (id) AS (
+    SELECT DISTINCT s, s FROM e
+    UNION SELECT e.t, min(c.component) FROM cc c JOIN e ON c.id = e.s JOIN recurring.cc r ON r.id = e.t WHERE c.component < r.component GROUP BY e.t
+)
+SELECT id, component FROM cc
+"""
+
+SUMMARY_SQL = f"""
+WITH p AS ({PAIRS_SQL}), e AS (SELECT DISTINCT least(source, target) AS s, greatest(source, target) AS t FROM p WHERE source <> target), c AS ({COMPONENTS_SQL}),
+n AS (SELECT count(*) AS nodes, count(DISTINCT component) AS components FROM c)
+SELECT nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e) / (nodes * (nodes - 1)) AS density, components FROM n
+"""
+
+
 def _proximity(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("path"))
     return G.directory_edges(p.withColumn("path", F.concat("path", F.lit("/"), "page_id")), "page_id", "path", "page_id")
@@ -209,6 +241,9 @@ PLANS = {
     "communities": Plan(_communities),
     "community_groups": Plan(_groups),
     "directory_proximity": Plan(_proximity, PROXIMITY_SQL),
+    "co_purchase_components": Plan(_components, COMPONENTS_SQL),
+    "co_purchase_summary": Plan(_co_summary, SUMMARY_SQL),
+    "co_purchase_communities": Plan(_co_communities),
     "directory_classes": Plan(_directory_classes, CLASSES_SQL),
     "shared_value_classes": Plan(_value_classes, VALUE_CLASSES_SQL),
     "token_resolution": Plan(_resolution, RESOLUTION_SQL),
