@@ -7,8 +7,8 @@ units of ANCHOR words or more are extended word by word on both sides, against w
 repeat; as the units there are no repeats of each other, an extension ends within their sentences. A run of MIN_WORDS words or more
 then goes, so short common sentences stay; spans are offsets into the original text, in code points.
 
-A passage of 50 words holds a whole unit of ANCHOR words however its sentences are cut: one of LONG words fits into it whole
-wherever it begins, and longer ones are cut at one word in PIECE.
+A passage of 50 words holds whole units of ANCHOR words together however its sentences are cut: a sentence of LONG words fits
+into it whole wherever it begins, and longer ones are cut at one word in PIECE.
 
 Defined results: a null text is empty and has no units; rows with a null id come last in rank and keep their text; rows
 that repeat id and text are one occurrence; a very long text is read whole, its units leave in blocks; other columns keep
@@ -29,7 +29,7 @@ from heddle.llm.common import bitmap_filter, discard, in_batches, passing, table
 
 #: Words above which a sentence is cut again, mean words of such a piece, words of a run that is extended, and words a removed
 #: run needs.
-LONG, PIECE, ANCHOR, MIN_WORDS = 24, 8, 5, 20
+LONG, PIECE, ANCHOR, MIN_WORDS = 24, 8, 10, 20
 #: Bits of the filter for repeated digests: 8 MB.
 FILTER_BITS = 1 << 26
 
