@@ -309,9 +309,14 @@ def candidates(one: DataFrame, roots: DataFrame, similarity: Fraction, most: int
     code, and the node's other codes come to each part.
     """
     find, kind = _across(similarity, most), "a long, b long, open long"
-    named = one.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
-    sizes = written(named.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    named = named.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    # Few codes have links: only those that a bounded filter lets through are shuffled to find their roots.
+    sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    bits = filter_bits(roots.count())
+    marked = flagged(one, bitmap_filter(roots, ["code"], bits), ["code"], "_rooted", bits)
+    found = marked.where("_rooted").join(roots.join(sizes, "root"), "code", "left")
+    cols = ["code", "n", "fp", "counts", "nodes"]
+    named = marked.where("NOT _rooted").select(*cols, F.col("code").alias("root"), F.lit(1).cast("long").alias("size"))
+    named = named.unionByName(found.select(*cols, F.coalesce("root", "code").alias("root"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
     row = ["n", "code", "root", "size", "fp", "counts"]
     every = named.select(*row, F.explode("nodes").alias("key"))
     if sizes.where(F.col("size") > NODE_ROWS).isEmpty():
