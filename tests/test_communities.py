@@ -2,9 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from heddle.operators import communities as C
 from heddle.operators import graph as G
 from heddle.plans.registry import PLANS
+from heddle.session import cut
 from tests.conftest import SF
 
 KIND = "source string, target string, weight double"
@@ -62,3 +65,11 @@ def test_co_purchases(spark):
     assert {r.id: r.component for r in PLANS["co_purchase_components"].run(spark, SF).collect()} == want
     parts = {r.id: r.community for r in PLANS["co_purchase_communities"].run(spark, SF).collect()}
     assert set(parts) == set(want) and all(want[i] == want[c] for i, c in parts.items()) and 1 < len(set(parts.values())) < len(parts)
+
+
+def test_cuts_have_their_true_size(spark):
+    """Estimates of joins are products: over rounds of joins that are cut they must not grow."""
+    df = spark.range(20)
+    for _ in range(6):
+        df = cut(df.join(df.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert df.count() == 20 and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
