@@ -16,3 +16,23 @@ def test_sums_of_edges_fill_no_task_before_their_shuffle(spark):
     out = graphs._edges(spark, SF)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "sum(" in plan and "sum(" not in plan[plan.index("Exchange") :]
+
+
+def test_components_from_few_edges(spark):
+    """Paths, a star and edges that only a pass over all edges finds: 4-5 is neither the least nor the largest of a vertex."""
+    edges = [(9, 4), (9, 1), (9, 7), (9, 8), (4, 2), (3, 4), (4, 4), (6, 6), (None, 1)] + [(i, i + 1) for i in range(20, 60)] + [(100, i) for i in range(70, 80)]
+    rows = [(a, b, 1.0) for a, b in edges]
+    df = spark.createDataFrame(rows, "source long, target long, weight double")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in G.weak_components(df).collect() if r.id is not None}
+    assert got == {v: find(v) for v in root}
