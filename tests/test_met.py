@@ -36,3 +36,12 @@ def test_components_from_few_edges(spark):
             root[max(x, y)] = min(x, y)
     got = {r.id: r.component for r in G.weak_components(df).collect() if r.id is not None}
     assert got == {v: find(v) for v in root}
+
+
+def test_pairs_of_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(G, "TASK_PAIRS", 500)
+    rows = [(i, 1) for i in range(100)] + [(3, 1), (1, 2), (2, 2), (5, 3), (None, 1), (7, None)]
+    out = G.shared_values(spark.createDataFrame(rows, "o long, v int"), "o", "v")
+    assert parts(out).agg(F.max("count")).first()[0] < 2000
+    assert sorted(map(tuple, out.collect())) == sorted([(a, b, 1) for b in range(100) for a in range(b)] + [(1, 2, 2)])
