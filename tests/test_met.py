@@ -11,6 +11,34 @@ def parts(df):
     return df.groupBy(F.spark_partition_id().alias("p")).count()
 
 
+def test_edges_of_a_hot_directory_and_of_repeated_names(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(G, "TASK_PAIRS", 500)
+    # 60 directories below one, the names of every fifth twice; two spellings of a directory.
+    rows = [(f"n{i % 60 if i % 5 else 0}", f"/top/d{i % 60}/x{i}", i) for i in range(120)] + [("a", "/top//d1/y", 0), ("b", "/top/z", 1), (None, "/top/q", 2), ("c", None, 3)]
+    df = spark.createDataFrame(rows, "name string, path string, place int")
+    out = G.directory_edges(df, "name", "path", "place")
+    where = {(n, tuple(x for x in p.split("/")[:-1] if x)) for n, p, _ in rows if n and p}
+    want = set()
+    for a, p in where:
+        for b, q in where:
+            same = next((i for i, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
+            steps = len(p) + len(q) - 2 * same
+            if a != b and steps <= 2:
+                want.add((a, b, "directory", G.DIRECTORY_WEIGHTS[steps]))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_of_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(G, "TASK_PAIRS", 500)
+    rows = [(i, 1) for i in range(100)] + [(3, 1), (1, 2), (2, 2), (5, 3), (None, 1), (7, None)]
+    out = G.shared_values(spark.createDataFrame(rows, "o long, v int"), "o", "v")
+    assert parts(out).agg(F.max("count")).first()[0] < 2000
+    assert sorted(map(tuple, out.collect())) == sorted([(a, b, 1) for b in range(100) for a in range(b)] + [(1, 2, 2)])
+
+
 def test_sums_of_edges_fill_no_task_before_their_shuffle(spark):
     """A sum before the shuffle would hold all pairs of a task's orders; tasks follow the number of lines."""
     out = graphs._edges(spark, SF)
@@ -36,12 +64,3 @@ def test_components_from_few_edges(spark):
             root[max(x, y)] = min(x, y)
     got = {r.id: r.component for r in G.weak_components(df).collect() if r.id is not None}
     assert got == {v: find(v) for v in root}
-
-
-def test_pairs_of_a_hot_value(spark, monkeypatch):
-    monkeypatch.setattr(G, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(G, "TASK_PAIRS", 500)
-    rows = [(i, 1) for i in range(100)] + [(3, 1), (1, 2), (2, 2), (5, 3), (None, 1), (7, None)]
-    out = G.shared_values(spark.createDataFrame(rows, "o long, v int"), "o", "v")
-    assert parts(out).agg(F.max("count")).first()[0] < 2000
-    assert sorted(map(tuple, out.collect())) == sorted([(a, b, 1) for b in range(100) for a in range(b)] + [(1, 2, 2)])
