@@ -4,6 +4,7 @@ import random
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,34 @@ def test_a_key_in_slices(spark):
     df = spark.range(300).select(F.lit("one").alias("k"), F.col("id"))
     slices = df.select(S.slice_of("k", "id", 8).alias("s")).groupBy("s").count().collect()
     assert len(slices) == 8 and sum(r["count"] for r in slices) == 300
+
+
+def test_intervals_take_two_calls_of_the_state_server(monkeypatch):
+    """One read and one write for a key and micro-batch, however many intervals it has."""
+    calls, kept = [], {}
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def run(*args):
+                calls.append(call)
+                if call == "update":
+                    kept[self.name] = args[0]
+                return {"get": kept.get(self.name), "exists": self.name in kept, "iterator": iter(())}.get(call)
+
+            return run
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value(name)
+
+        getMapState = getValueState
+
+    processor = S.Intervals(1)
+    processor.init(Handle())
+    rows = pd.DataFrame({"start": range(0, 1000, 10), "end": range(3, 1003, 10)})
+    out = [next(processor.handleInputRows(("k",), iter([part]), None)) for part in (rows[::2], rows[1::2], pd.DataFrame({"start": [4], "end": [9]}))]
+    assert len(calls) <= 6 and [o["version"][0] for o in out] == [1, 2, 3] and len(out[1]["spans"][0]) == 100
+    assert out[2]["spans"][0][:2] == [{"start": 0, "end": 13}, {"start": 20, "end": 23}]
