@@ -107,3 +107,12 @@ def test_datetime_formats(spark):
     df = spark.createDataFrame([("2024-01-02", "x"), ("2024-01-03", "y")], "a string, b string")
     r = S.datetime_formats(df, ["a", "b"]).first()
     assert (r.a, r.b) == ("%Y-%m-%d", None)
+
+
+def test_values_are_parsed_once(spark):
+    """Formats are tried on the distinct values of each column; a null fits no format."""
+    df = spark.range(1000).selectExpr("date_format(date_add(DATE'2024-01-01', int(id % 7)), 'dd/MM/yyyy') AS a", "IF(id = 5, NULL, '2024-01-01') AS b", "IF(id % 2 = 0, '2024-01-01', '20240101') AS c")
+    out = S.datetime_formats(df, ["a", "b", "c"])
+    assert tuple(out.first()) == ("%d/%m/%Y", None, None) and tuple(S.datetime_formats(df.limit(0), ["a"]).first()) == (None,)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
