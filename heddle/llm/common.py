@@ -6,7 +6,9 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,9 +57,37 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     folder.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    _SCRATCH.get([]).append(out)
     return out
 
 
+#: Tables that go when the innermost ``scratch`` ends.
+_SCRATCH: ContextVar[list[DataFrame]] = ContextVar("scratch")
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables of ``written`` made inside are deleted at its end, but for those given to the function it yields: for steps of
+    which one table is left."""
+    own: list[DataFrame] = []
+    stays: list[DataFrame] = []
+    before = _SCRATCH.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        stays.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(before)
+        kept = {df._written for df in stays}
+        for df in own:
+            if df._written not in kept:
+                discard(df)
+        _SCRATCH.get([]).extend(stays)
+
+
 def _folder(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap_filter, filter_bits, in_batches, passing, slices, table, without_spans, written
+from heddle.llm.common import bitmap_filter, filter_bits, in_batches, passing, scratch, slices, table, without_spans, written
 
 #: Lines with words that a removed passage needs.
 MIN_LINES = 2
@@ -116,7 +116,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """``df`` without its repeated passages. Texts that nothing repeats are as they were; others may end up empty."""
-    cuts = written(repeated_passages(df, id_col, text_col, min_lines), "cuts")
+    with scratch() as keep:
+        cuts = keep(written(repeated_passages(df, id_col, text_col, min_lines), "cuts"))
     return without_spans(df, cuts, id_col, text_col)
 
 

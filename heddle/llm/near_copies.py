@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import _packed, _unpacked, bitmap_filter, discard, filter_bits, flagged, in_batches, passing, slices, written
+from heddle.llm.common import _packed, _unpacked, bitmap_filter, discard, filter_bits, flagged, in_batches, passing, scratch, slices, written
 from heddle.llm.simhash import GrayIndex, components, gray_rank, whole_nodes
 
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
@@ -398,12 +398,14 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``df`` with one row of each group of near-copies: the one with the smallest id, then the smallest hash of its text.
     Rows without an id come last. Rows that repeat both id and text are one row's copies."""
     name = ["late", "key", "hash"]
-    groups = near_copies(df, id_col, text_col, width, similarity)
-    groups = groups.select("group", F.col("id").isNull().alias("late"), F.coalesce("id", F.lit(0)).alias("key"), "hash")
-    each = written(groups.groupBy("group", *name).agg(F.count(F.lit(1)).alias("rows")), "members")
-    best = each.groupBy("group").agg(F.min(F.struct(*name)).alias("best"))
-    touched = each.join(best, "group").select(*name, "rows", (F.struct(*name) == F.col("best")).alias("stays"))
-    touched = written(touched.where("NOT stays OR rows > 1"), "touched")
+    # Of all tables, only that of the touched rows is read later.
+    with scratch() as keep:
+        groups = near_copies(df, id_col, text_col, width, similarity)
+        groups = groups.select("group", F.col("id").isNull().alias("late"), F.coalesce("id", F.lit(0)).alias("key"), "hash")
+        each = written(groups.groupBy("group", *name).agg(F.count(F.lit(1)).alias("rows")), "members")
+        best = each.groupBy("group").agg(F.min(F.struct(*name)).alias("best"))
+        touched = each.join(best, "group").select(*name, "rows", (F.struct(*name) == F.col("best")).alias("stays"))
+        touched = keep(written(touched.where("NOT stays OR rows > 1"), "touched"))
     ids = F.col(f"`{id_col}`").cast("long")
     t = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     docs = df.select(_packed(df), ids.isNull().alias("late"), F.coalesce(ids, F.lit(0)).alias("key"), t.alias("hash"))

@@ -1,7 +1,11 @@
 """The pipeline, stage by stage, against brute-force versions."""
 
+from pathlib import Path
+
+import pytest
+
 import corpus_pipeline as P
-from heddle.llm.common import table, written
+from heddle.llm.common import scratch, shared_dir, table, written
 from tests.conftest import SF
 from tests.llm.test_line_passages import brute, lines_of
 from tests.llm.test_near_copies import groups
@@ -57,3 +61,31 @@ def test_each_stage_takes_odd_rows(spark, odd, empty):
     for _, stage in P.STAGES:
         stage(spark, odd, SF).collect()
         assert stage(spark, empty, SF).collect() == []
+
+
+def tables_of(spark):
+    return set(Path("/" + shared_dir(spark).removeprefix("file:").lstrip("/")).glob("heddle-*"))
+
+
+@pytest.mark.parametrize(("stage", "left"), [(P.line_chunks, "cuts"), (P.near_dedup, "touched")])
+def test_stages_leave_one_table(spark, stage, left):
+    """Tables that the result does not read would lie beside those of the next stage."""
+    before = tables_of(spark)
+    out = stage(spark, table(spark, SF, "documents"), SF)
+    (made,) = tables_of(spark) - before
+    assert made.name.startswith(f"heddle-{left}-") and out.count() > 0
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    before = tables_of(spark)
+    with scratch() as keep:
+        with scratch() as inner:
+            a, b = inner(written(spark.range(3), "a")), written(spark.range(3), "b")
+            assert b.count() == 3
+        assert a.count() == 3
+        c = keep(written(a, "c"))
+    assert c.count() == 3 and {t.name.split("-")[1] for t in tables_of(spark) - before} == {"c"}
+    with pytest.raises(ZeroDivisionError), scratch():
+        written(c, "d")
+        1 / 0  # noqa: B018
+    assert {t.name.split("-")[1] for t in tables_of(spark) - before} == {"c"}
