@@ -6,9 +6,10 @@ or not at all (its ledger file comes last), so a batch that is repeated after a
 folder for each batch, partitioned by cell; a deletion is a row of record and batch that hides earlier chunks. ``compact``
 rewrites what is live.
 
-``neighbours`` sends each query to the cells of its nearest centres. In a cell, shards of bounded size meet blocks of
-queries of bounded size, distances come from the codes, and each query keeps a short list, which is then ranked by the
-vectors themselves. The index is approximate; the README states its recall.
+``neighbours`` searches for each query the cells of its nearest centres. Shards of the index meet blocks of queries, both of
+bounded size: a vector is sent once for each block or shard of the other side, however many cells are searched. There,
+distances come from the codes, each query keeps a short list, which is ranked by the vectors themselves, and only what is
+left of it leaves the task. The index is approximate; the README states its recall.
 
 Centres and codebooks are at most CELLS and 256 rows for each part of a vector, whatever the number of rows: they may be
 collected and sent to the workers. Everything else stays in tables.
@@ -33,8 +34,11 @@ from heddle.session import cut
 CELLS, CELL_ROWS, SAMPLE_ROWS = 4096, 200, 20_000
 #: Components of a part of a vector, and codes of a part.
 PART, CODES = 4, 256
-#: Rows of a shard of a cell and of a block of queries that meet in one task.
-SHARD_ROWS, QUERY_ROWS = 65_536, 4096
+#: Rows of a shard of the index and of a block of queries that meet in one task, and bytes of their vectors, at most; pairs of
+#: them that are worth a task of their own.
+SHARD_ROWS, QUERY_ROWS, SIDE_BYTES, TILE_PAIRS = 131_072, 131_072, 32 << 20, 1 << 26
+#: Distances that a search holds at once.
+HELD = 1 << 22
 #: Entries of a short list for each neighbour that is asked for, and queries that the number of probes is measured on.
 LONGER, SAMPLE_QUERIES = 8, 200
 
@@ -83,13 +87,17 @@ class Model:
         split = self.parts(x - self.centres[cell])
         return cell, np.stack([nearest(split[:, i], b) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to coded rows of a cell: sums of a table for each query and part."""
-        split = self.parts(queries - self.centres[cell])
-        out = np.zeros((len(queries), len(codes)))
-        for i, book in enumerate(self.books):
-            way = ((split[:, i, None, :] - book[None]) ** 2).sum(2)
-            out += way[:, codes[:, i]]
+    def decoded(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What codes of cells stand for."""
+        rest = np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
+        return self.centres[cell] + rest[:, : self.d]
+
+    def cells(self, queries: np.ndarray, probes: int) -> np.ndarray:
+        """Queries x cells: whether a cell is among the ``probes`` nearest ones of a query."""
+        score = queries @ self.centres.T - 0.5 * (self.centres**2).sum(1)
+        n = min(probes, score.shape[1])
+        out = np.zeros(score.shape, dtype=bool)
+        np.put_along_axis(out, np.argpartition(-score, n - 1, axis=1)[:, :n], True, axis=1)
         return out
 
 
@@ -217,55 +225,86 @@ class VectorSink:
             self.fs.delete(self._at(f"compacted-{before}"), True)
 
 
+def grid(rows: int, asked: int, d: int, tasks: int) -> tuple[int, int]:
+    """Shards of the index and blocks of queries: so many that each fits in memory and that there is work for ``tasks`` tasks.
+
+    The index is sent once for each block, the queries once for each shard, and each shard returns a list: shards are fewer.
+    Their number follows the cores until a side of a tile is full, which at 393,216 rows of 64 components it is for 24 tasks.
+    """
+    most = max(1, SIDE_BYTES // (4 * max(1, d)))
+    shards, blocks = (max(1, -(-n // min(top, most))) for n, top in ((rows, SHARD_ROWS), (asked, QUERY_ROWS)))
+    want = min(tasks, -(-rows * asked // TILE_PAIRS))
+    shards = max(shards, round(math.sqrt(want / 2)))
+    return shards, max(blocks, -(-want // shards))
+
+
 def neighbours(sink: VectorSink, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query, rank int, record, chunk, distance): for each of the ``queries`` (query, vector) the k nearest live chunks that its
-    ``probes`` nearest cells have, by squared distance, ties by record and chunk."""
-    model, longer = sink.model, LONGER * k
+    ``probes`` nearest cells have, by squared distance, ties by record and chunk. Each shard has short lists of its own, so
+    more shards lose no neighbour."""
+    model, longer, spark = sink.model, LONGER * k, queries.sparkSession
     live = cut(sink.live().select("record", "chunk", "vector", "codes", "cell"))
     counted = queries.select(F.col("query").cast("string"), F.col("vector").cast("array<float>")).where(F.size("vector") == model.d)
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                x = matrix(part.column(1), model.d)
-                score = x @ model.centres.T - 0.5 * (model.centres**2).sum(1)
-                n = min(probes, score.shape[1])
-                cells = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                who = pa.array(np.repeat(np.arange(len(x)), n))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), pa.array(cells.ravel(), pa.int32())], names=["query", "vector", "cell"])
-
-    asked = counted.mapInArrow(sent, "query string, vector array<float>, cell int")
-    sizes = live.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("shards"))
-    blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
-    plan = cut(sizes.join(blocks, "cell"))
-    left = live.join(plan, "cell").select("record", "chunk", "codes", "cell", F.pmod(F.xxhash64("record", "chunk"), F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = asked.join(plan, "cell").select("query", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("block"))
+    shards, blocks = grid(live.count(), counted.count(), model.d, 2 * spark.sparkContext.defaultParallelism)
+    left = live.select("*", F.pmod(F.xxhash64("record", "chunk"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = counted.select("query", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"))
 
     def searched(index: pa.Table, some: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         if index.num_rows and some.num_rows:
+            index = index.sort_by([("record", "ascending"), ("chunk", "ascending")])
             codes = np.frombuffer(b"".join(index.column("codes").to_pylist()), dtype=np.uint8).reshape(index.num_rows, -1)
-            cell, x = int(index.column("cell")[0].as_py()), matrix(some.column("vector"), model.d)
-            n = min(longer, len(codes))
-            step = max(1, (1 << 22) // len(codes))
+            # Rows of equal codes have one distance, to the last bit: the order of records decides among them.
+            named = np.concatenate([index.column("cell").to_numpy().astype("<u4")[:, None].view(np.uint8), codes], axis=1)
+            _, one, same = np.unique(np.ascontiguousarray(named).view(f"V{named.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            if len(one) == len(same):
+                one = same = np.arange(len(same))
+            cell = index.column("cell").to_numpy()[one]
+            near = model.decoded(cell, codes[one])
+            half, n = 0.5 * (near**2).sum(1), min(longer, index.num_rows)
+            own, x = _floats(index.column("vector"), model.d), _floats(some.column("vector"), model.d)
+            sound = np.isfinite(half).all() and np.isfinite(x).all()
+            step = max(1, HELD // max(index.num_rows, n * model.d))
             for a in range(0, len(x), step):
-                way = model.distances(x[a : a + step], cell, codes)
-                top = np.argpartition(way, n - 1, axis=1)[:, :n]
-                out.append((np.repeat(np.arange(a, a + len(way)), n), top.ravel(), np.take_along_axis(way, top, 1).ravel()))
-        who, which, way = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
-        return pa.table({"query": some.column("query").take(pa.array(who)), "record": index.column("record").take(pa.array(which)), "chunk": index.column("chunk").take(pa.array(which)), "way": pa.array(way, pa.float64())})
-
-    found = left.groupBy("cell", "shard", "block").cogroup(right.groupBy("cell", "shard", "block")).applyInArrow(searched, "query string, record string, chunk long, way double")
-    first = Window.partitionBy("query").orderBy("way", "record", "chunk")
-    short = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= longer).select("query", "record", "chunk")
-    exact = short.join(counted.select("query", F.col("vector").alias("_q")), "query").join(live.select("record", "chunk", "vector"), ["record", "chunk"])
-    distance = F.aggregate(F.zip_with("_q", "vector", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+                q = x[a : a + step].astype(np.float64)
+                # Half the squared distance, less what is the same for all rows.
+                way = half - q @ near.T
+                way[~model.cells(q, probes)[:, cell]] = np.inf
+                if not sound:
+                    way[np.isnan(way)] = np.inf
+                top, there = _least(way if len(one) == len(same) else way[:, same], n)
+                distance = ((q[:, None] - own[top]) ** 2).sum(2)
+                distance[~there] = np.inf
+                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                who, place = np.nonzero(np.take_along_axis(there, best, 1))
+                best = best[who, place]
+                out.append((who + a, top[who, best], distance[who, best]))
+        who, which, distance = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"query": some.column("query").take(pa.array(who)), "record": index.column("record").take(pa.array(which)), "chunk": index.column("chunk").take(pa.array(which)), "distance": pa.array(distance, pa.float64())})
+
+    # More partitions than tiles, so that few tiles share a task.
+    left, right = (side.repartition(4 * shards * blocks, "shard", "block") for side in (left, right))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(searched, "query string, record string, chunk long, distance double")
     last = Window.partitionBy("query").orderBy("distance", "record", "chunk")
-    ranked = exact.select("query", "record", "chunk", distance.alias("distance")).withColumn("rank", F.row_number().over(last))
+    ranked = found.withColumn("rank", F.row_number().over(last))
     return ranked.where(F.col("rank") <= k).select("query", "rank", "record", "chunk", "distance")
 
 
+def _floats(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _least(way: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the n least of each row, in order of place; of equals the first ones. And whether they are finite."""
+    most = np.partition(way, n - 1, axis=1)[:, n - 1 : n]
+    inside = way <= most
+    for i in np.flatnonzero(inside.sum(1) > n):
+        tied = np.flatnonzero(way[i] == most[i])
+        inside[i, tied[n - np.count_nonzero(way[i] < most[i]) :]] = False
+    top = np.nonzero(inside)[1].reshape(len(way), n)
+    return top, np.isfinite(np.take_along_axis(way, top, 1))
+
+
 def probes_for(sink: VectorSink, queries: DataFrame, k: int, recall: float = 0.95) -> int:
     """How many cells a query has to search so that they hold this share of the true k nearest chunks, by brute force for at most
     SAMPLE_QUERIES of the ``queries`` (query, vector), drawn by hash: a query set of bounded size against all rows."""

@@ -124,3 +124,54 @@ def test_odd_rows(spark, made, tmp_path):
     assert [r.record for r in sink.live().collect()] == ["5"]
     near = V.neighbours(sink, V.sound(odd, "id", "vector").select(F.col("id").alias("query"), "vector"), 3, 100)
     assert [(r["query"], r["rank"], r["record"], r["distance"]) for r in near.collect()] == [("5", 1, "5", 0.0)]
+
+
+def test_least():
+    way = np.array([[3.0, 1.0, 2.0, 1.0, 1.0], [np.inf, 5.0, np.inf, 4.0, np.inf], [2.0, 2.0, 2.0, 2.0, 1.0]])
+    top, there = V._least(way, 3)
+    assert top.tolist() == [[1, 3, 4], [0, 1, 3], [0, 1, 4]] and there.tolist() == [[True] * 3, [False, True, True], [True] * 3]
+
+
+def test_vectors_are_not_sent_for_each_cell(spark, made, tmp_path):
+    """Rows that meet follow the grid, not the number of cells that are searched; a list has no more rows than it is asked for."""
+    rows, df, _ = made
+    sink = V.new_index(spark, f"file://{tmp_path}", df)
+    sink.flush(0, chunks(df))
+    asked = df.select(F.col("id").alias("query"), "vector")
+    for probes in (1, len(sink.model.centres)):
+        near = V.neighbours(sink, asked, 10, probes)
+        near.collect()
+        written = []
+
+        def walk(plan):
+            if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                plan = plan.executedPlan()
+            if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+                plan = plan.plan()
+            if plan.getClass().getSimpleName() == "ShuffleExchangeExec":
+                written.append(plan.metrics().apply("shuffleRecordsWritten").value())
+            for i in range(plan.children().size()):
+                walk(plan.children().apply(i))
+
+        walk(near._jdf.queryExecution().executedPlan())
+        shards, blocks = V.grid(3000, 3000, 10, 2 * spark.sparkContext.defaultParallelism)
+        assert (shards, blocks) == (1, 1) and len(written) == 3 and max(written) <= 10 * 3000
+
+
+def test_grid():
+    assert V.grid(0, 0, 64, 24) == (1, 1) and V.grid(10_000, 10_000, 64, 24) == (1, 2)
+    # From 0.1 to 0.6 million rows, a vector is sent the same number of times, and no side is larger than it may be.
+    for n in (50_000, 100_000, 390_000):
+        assert V.grid(n, n, 64, 24) == (3, 8)
+    for n, d in ((4_000_000, 64), (200_000, 1536)):
+        shards, blocks = V.grid(n, n, d, 24)
+        assert max(n / shards, n / blocks) * 4 * d <= V.SIDE_BYTES
+
+
+def test_copies_come_by_record(spark, tmp_path):
+    """Of more copies than a short list holds, those of the smallest records are the neighbours, whatever the order of rows."""
+    df = spark.createDataFrame(vectors(300) + [(1000 + i, [1.0] * 10) for i in range(400)], KIND).repartition(7)
+    sink = V.new_index(spark, f"file://{tmp_path}", df)
+    sink.flush(0, chunks(df))
+    near = V.neighbours(sink, df.where("id IN (1000, 1399)").select(F.col("id").alias("query"), "vector"), 5, 3).collect()
+    assert sorted((r["query"], r["rank"], r["record"]) for r in near) == [(q, i + 1, str(1000 + i)) for q in ("1000", "1399") for i in range(5)]
