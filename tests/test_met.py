@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from heddle.operators import graph as G
 from heddle.plans import graphs
+from heddle.session import cut
 from tests.conftest import SF
 
 
@@ -39,6 +40,24 @@ def test_pairs_of_a_hot_value(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == sorted([(a, b, 1) for b in range(100) for a in range(b)] + [(1, 2, 2)])
 
 
+def test_blocks_are_dealt_out_by_several_tasks(spark, monkeypatch):
+    """Rows of one file, each sent to many blocks, are dealt by tasks that follow the number of pairs."""
+    for name, n in (("BLOCK_ROWS", 4), ("TASK_PAIRS", 500), ("DEALT_TASKS", 16)):
+        monkeypatch.setattr(G, name, n)
+    rows = cut(spark.range(300).selectExpr("id AS o", "1 AS v").coalesce(1))
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def stages():
+        all_of = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return [all_of.apply(i) for i in range(all_of.size())]
+
+    seen = {s.stageId() for s in stages()}
+    assert G.shared_values(rows, "o", "v").count() == 300 * 299 // 2
+    # 300 rows for 75 blocks of the other side.
+    dealt = [s for s in stages() if s.stageId() not in seen and s.shuffleWriteRecords() == 300 * 75]
+    assert dealt and all(s.numTasks() == 180 // 16 + 1 for s in dealt)
+
+
 def test_sums_of_edges_fill_no_task_before_their_shuffle(spark):
     """A sum before the shuffle would hold all pairs of a task's orders; tasks follow the number of lines."""
     out = graphs._edges(spark, SF)
